@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions_for, table
 
-LEAST_SHARE, MOST_SHARE, SUBSETS, SEED = 1 / 1024, 1 / 4, 32, "stemma-i-match"
+LEAST_SHARE, MOST_SHARE, SUBSETS, SEED = 1 / 256, 1 / 4, 32, "stemma-i-match"
 ROWS_PER_RANGE = 4000
 _NONE = "-"
 
@@ -48,13 +48,16 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 def fingerprint_of(found):
     """The fingerprint of an array of struct(term, subset)."""
-    ordered = F.array_sort(found)
 
-    def one(k):
-        own = F.transform(F.filter(ordered, lambda x: x["subset"] == k), lambda x: x["term"])
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ")), 1, 8)).otherwise(_NONE)
+    def hashes(ordered):
+        def one(k):
+            own = F.array_join(F.transform(F.filter(ordered, lambda x: x["subset"] == k), lambda x: x["term"]), " ")
+            return F.when(own != "", F.substring(F.md5(own), 1, 8)).otherwise(_NONE)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ".")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ".")
+
+    # the array of one element makes Spark sort once a row, not once a subset
+    return F.transform(F.array(F.array_sort(found)), hashes)[0]
 
 
 def likeness(a, b):
@@ -72,7 +75,8 @@ def fingerprints(rows: DataFrame, columns: dict[str, str], words: DataFrame, kee
     """
     tagged = F.concat(*[F.transform(F.concat(F.array(F.lit("")), F.filter(terms(F.col(c)), lambda t: t != "")), _tag(i)) for i, c in enumerate(columns)])
     # terms of all texts of a row, each with its subset; the empty term keeps rows without any other
-    flat = rows.select(*keep, F.monotonically_increasing_id().alias("row_number"), F.explode(tagged).alias("x")).select(*keep, "row_number", "x.which", "x.term")
+    numbered = rows.select(*keep, F.monotonically_increasing_id().alias("row_number"), tagged.alias("terms"))
+    flat = numbered.select(*keep, "row_number", F.explode("terms").alias("x")).select(*keep, "row_number", "x.which", "x.term")
     met = flat.join(F.broadcast(words), "term")
     of = {name: F.collect_list(F.when((F.col("which") == i) & (F.col("subset") >= 0), F.struct("term", "subset"))).alias(name) for i, name in enumerate(columns.values())}
     grouped = met.groupBy(*keep, "row_number").agg(*of.values())
