@@ -9,10 +9,10 @@ link if 7 * |A & B| >= 3 * (|A| + |B|), that is at a Jaccard similarity of 0.75
 * Join within buckets.  A class's shingles are hashed into GROUPS groups; the counts are a point, and the overlap of
   two classes is at most the sum of the smaller counts.  A bucket's points are packed into an R-tree whose boxes keep
   the largest count of each group and the smallest set size, so the same sum bounds the overlap of any points below
-  two boxes.  The tree is joined with itself from the root; pairs of points that the bound leaves are verified on the
-  sets themselves.
+  two boxes.  The tree is joined with itself from the root; pairs of points that the bound leaves are bounded
+  once more with finer counts (groups in proportion to the set), and then verified on the sets themselves.
 * Large buckets (over SMALL_BUCKET classes, and all of frequent shingles) would have pairs in the square of their
-  size.  There each class is first paired with one class of the bucket, chosen at random; verified links give
+  size.  There each class is first paired with one class, the first of the bucket by a hash; verified links give
   components; then only pairs of different components are joined, in blocks of BLOCK classes against blocks.  What is
   left out is already in one component, so no link that matters is lost, and no group is expanded into all its pairs.
 
@@ -33,35 +33,39 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .shingles import mix, shingle_sets
 
-GROUPS, LEAF, FANOUT = 32, 16, 8
-SMALL_BUCKET, BLOCK = 64, 2000
+GROUPS, LEAF, FANOUT = 64, 16, 8
+SMALL_BUCKET, BLOCK = 4, 2000
+#: Counts are kept in 16 bits; the bound says nothing about larger sets.
+LARGEST_BOUNDED = 2_000_000
 HEAVY_ENTRIES, HEAVY_LEAST = 1 << 18, 64
 #: Shingles that a task holds at a time, and the count from which it reports one as possibly frequent.
 FLUSH, REPORT = 4_000_000, 4
 ROWS_PER_SLICE = 1_000_000
+#: Ids that are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def _set_name(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """For every (doc_id, text): n, sig (128 bits of the set), sid (64 of them), vector.  And counts of shingles that may be frequent."""
+    """For every (doc_id, text): n, sig (128 bits of the set), sid (64 of them), vector, fine counts.  And counts of shingles that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sig", "sid", "vector", "hash", "times"]
+        names = ["doc_id", "n", "sig", "sid", "vector", "fine", "hash", "times"]
         held, size, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             hashes, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times >= REPORT
-            blank = [pa.nulls(int(keep.sum()), k) for k in (kind, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+            blank = [pa.nulls(int(keep.sum()), k) for k in (kind, pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())]
             return pa.RecordBatch.from_arrays([*blank, pa.array(hashes[keep].view(np.int64)), pa.array(times[keep])], names)
 
         kind = pa.int64()
@@ -71,9 +75,10 @@ def describe(docs: DataFrame) -> DataFrame:
             n = np.diff(at)
             sigs = [_set_name(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             owner = np.repeat(np.arange(len(n)), n)
-            vectors = np.bincount(owner * GROUPS + (flat % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).astype("<i4").reshape(-1, GROUPS)
+            vectors = np.bincount(owner * GROUPS + (flat % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).clip(max=65535).astype("<u2").reshape(-1, GROUPS)
             blank = [pa.nulls(len(n), pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary()), *blank], names)
+            fine = [_fine_counts(flat[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(fine, pa.binary()), *blank], names)
             for i, sig in enumerate(sigs):
                 if sig not in seen:
                     seen.add(sig)
@@ -86,7 +91,13 @@ def describe(docs: DataFrame) -> DataFrame:
             yield frequent()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig binary, sid long, vector binary, hash long, times long")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig binary, sid long, vector binary, fine binary, hash long, times long")
+
+
+def _fine_counts(hashes: np.ndarray) -> np.ndarray:
+    """Counts of a quarter as many groups as shingles, rounded up to a power of two; halves fold into fewer groups."""
+    groups = max(GROUPS, 1 << min(16, max(0, len(hashes) // 4 - 1).bit_length()))
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(max=65535).astype("<u2")
 
 
 def _sid(sig: bytes) -> int:
@@ -186,7 +197,7 @@ class CountTree:
         least, most, high, _ = self.levels[level]
         keep = (4 * most[a] >= 3 * least[b]) & (4 * most[b] >= 3 * least[a])
         a, b, at = a[keep], b[keep], np.flatnonzero(keep)
-        fits = [7 * np.minimum(high[x], high[y]).sum(axis=1) >= 3 * (least[x] + least[y]) for x, y in zip(np.array_split(a, len(a) // 20_000 + 1), np.array_split(b, len(b) // 20_000 + 1), strict=True)]
+        fits = [_allowed(np.minimum(high[x], high[y]).sum(axis=1), least[x], least[y]) for x, y in zip(np.array_split(a, len(a) // 20_000 + 1), np.array_split(b, len(b) // 20_000 + 1), strict=True)]
         return at[np.concatenate(fits)]
 
     def self_join(self, component: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,7 +227,41 @@ class CountTree:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64).reshape(-1, GROUPS)
+
+
+def _allowed(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles, at least, may link with that overlap at most."""
+    return (7 * overlap >= 3 * (n + m)) | (np.minimum(n, m) > LARGEST_BOUNDED)
+
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that the bound leaves in buckets of SMALL_BUCKET classes at most: each is one leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            some = pa.concat_tables([rest, some]).combine_chunks() if rest is not None else some
+            if not len(some):
+                continue
+            key, node, n = (some[c].to_numpy() for c in ("hash", "node", "n"))
+            vector, out = _vectors(some["vector"].combine_chunks()), []
+            fresh = 0 if rest is None else len(rest)
+            for step in range(1, SMALL_BUCKET):
+                b = np.arange(max(step, fresh), len(key))  # pairs among the carried rows are known already
+                a = b - step
+                same = (key[a] == key[b]) & (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
+                a, b = a[same], b[same]
+                if len(a):
+                    ok = _allowed(np.minimum(vector[a], vector[b]).sum(axis=1), n[a], n[b])
+                    out.append(np.stack([np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]], axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            rest = some.slice(max(0, len(some) - SMALL_BUCKET))
+
+    dealt = rows.select("hash", "node", "n", "vector").repartition("hash").sortWithinPartitions("hash")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -264,7 +309,7 @@ def tree_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def _star_pairs(hot: DataFrame) -> DataFrame:
     """Each class of a large bucket with one class of it, where the bound allows a link."""
-    centre = hot.groupBy("hash").agg(F.min_by(F.struct("node", "n", "vector"), F.xxhash64("node", "hash")).alias("c"))
+    centre = hot.groupBy("hash").agg(F.min_by(F.struct("node", "n", "vector"), F.xxhash64("node")).alias("c"))
     both = hot.join(centre, "hash").filter(F.col("node") != F.col("c.node")).select("node", "n", "vector", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.vector").alias("vector2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +317,32 @@ def _star_pairs(hot: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             node, n, node2, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            ok = 7 * np.minimum(_vectors(batch.column(2)), _vectors(batch.column(5))).sum(axis=1) >= 3 * (n + n2)
+            ok = _allowed(np.minimum(_vectors(batch.column(2)), _vectors(batch.column(5))).sum(axis=1), n, n2)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, node2)[ok]), pa.array(np.maximum(node, node2)[ok])], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def bounded_by_fine(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs that the bound still allows with finer groups; GROUPS tell little about large sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, n, m = (batch.column(i).to_pylist() for i in range(6))
+            overlap = []
+            for left, right in zip(x, y, strict=True):
+                u, v = (np.frombuffer(z, "<u2").astype(np.int64) for z in (left, right))
+                groups = min(len(u), len(v))
+                overlap.append(int(np.minimum(u.reshape(-1, groups).sum(axis=0), v.reshape(-1, groups).sum(axis=0)).sum()))
+            ok = np.flatnonzero(_allowed(np.array(overlap, np.int64), np.array(n, np.int64), np.array(m, np.int64))) if overlap else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok.tolist()], pa.int64()), pa.array([b[i] for i in ok.tolist()], pa.int64())], ["a", "b"])
+
+    left = fine.select(F.col("node").alias("a"), F.col("fine").alias("x"), F.col("n").alias("nx"))
+    right = fine.select(F.col("node").alias("b"), F.col("fine").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes binary) of the documents that ``nodes`` names."""
 
@@ -287,10 +352,17 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             data = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["node", "hashes"])
 
-    wanted = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    nodes = nodes.withColumnRenamed("node", "doc_id")
+    few = nodes.limit(MOST_SENT + 1).count() <= MOST_SENT
+    wanted = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
     return wanted.mapInArrow(run, "node long, hashes binary")
 
 
+def _sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return materialise(set_table(rows, nodes), "sets")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.  The sets of all partners of a meet the set of a in one place, one after another."""
 
@@ -347,7 +419,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     told = materialise(describe(rows), "shingles")
     sets = told.filter(F.col("sig").isNotNull())
     real = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    same = [F.first(c).alias(c) for c in ("sid", "n", "vector")]
+    same = [F.first(c).alias(c) for c in ("sid", "n", "vector", "fine")]
     classes = materialise(real.groupBy("sig").agg(F.min("doc_id").alias("node"), *same), "classes")
     total, prefix = classes.agg(F.sum("n"), F.sum(F.expr("n - (3 * n + 3) div 4 + 1"))).first()
     if not total:
@@ -358,12 +430,11 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefix // ROWS_PER_SLICE))
     bucket = materialise(buckets(prefix_rows(rows.filter(F.col("doc_id").isNotNull()), heavy, slices), slices), "buckets")
     placed = bucket.join(classes.select("sid", "node", "n", "vector"), "sid").select("hash", "node", "n", "vector", "hot")
-    alone = {"component": F.col("node"), "side": F.lit(0)}
     hot = placed.filter("hot")
-    pairs = materialise(tree_pairs(placed.filter("not hot").withColumns(alone), ["hash"]).unionByName(_star_pairs(hot)).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
-    full = materialise(set_table(rows, nodes), "sets")
-    edges = materialise(verify(pairs, full), "links")
+    fine = classes.select("node", "n", "fine")
+    told_pairs = materialise(small_pairs(placed.filter("not hot")).unionByName(_star_pairs(hot)).distinct(), "pairs")
+    pairs = materialise(bounded_by_fine(told_pairs, fine), "pairs")
+    edges = materialise(verify(pairs, _sets_of(pairs, rows)), "links")
     label = components(edges)
     if bucket.filter("hot").limit(1).count():
         hot = hot.drop("hot").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -372,8 +443,9 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         hot = hot.join(mixed.select("hash", blocks.alias("k")), "hash").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         hot = hot.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
-        more = tree_pairs(hot, ["hash", "i", "j"]).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(materialise(verify(materialise(more, "pairs"), full), "links"))
+        more = materialise(tree_pairs(hot, ["hash", "i", "j"]).join(told_pairs, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(bounded_by_fine(more, fine), "pairs")
+        edges = edges.unionByName(materialise(verify(more, _sets_of(more, rows)), "links"))
         label = components(edges)
     of = classes.join(label, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     joined = sets.join(of, "sig", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,13 +38,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Tabulation hashing: a random number for each byte value at each place of a word; the seed is part of the format.
+_TABLE = np.random.default_rng(20240517).integers(0, 1 << 63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(found: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (large strings), all at once."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    _, starts, data = found.buffers()
+    starts = np.frombuffer(starts, np.int64)[found.offset : found.offset + len(found) + 1]
+    data = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
+    lengths = np.diff(starts)
+    place = np.arange(len(data)) - np.repeat(starts[:-1] - starts[0], lengths)
+    value = _TABLE[place % 64, data] * (2 * (place // 64).astype(np.uint64) + np.uint64(1))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
+    ends = np.cumsum(lengths)
+    return mix(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, ascending within each, and the offsets of each text's.
 
     A text of fewer words than a shingle has one, of all its words; a text without words has none.
     """
     found, code, counts = words(texts)
-    hashes = np.frombuffer(b"".join([blake2b(w.encode(), digest_size=8).digest() for w in found.to_pylist()]), "<u8")
+    hashes = word_hashes(found)
     word = hashes[code] if len(code) else np.zeros(0, np.uint64)
     first = np.cumsum(counts) - counts
     whole = np.zeros(max(0, len(word) - WIDTH + 1), np.uint64)
