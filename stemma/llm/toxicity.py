@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,8 @@ from .common import table
 from .shingles import words
 
 MAX_ROWS, LEXICON, BITS, THRESHOLD = 12_000, 96, 16, 0.3
+#: Texts whose words are taken at once.
+PART = 1000
 #: A lexicon word's least number of toxic texts and least likelihood-ratio statistic.
 LEAST_SUPPORT, LEAST_EVIDENCE = 3, 25.0
 ROUNDS, RESIDUAL, EPOCHS = 40, 0.2, 120
@@ -42,10 +43,13 @@ def held_out(column):
     return F.crc32(column.cast("string").cast("binary")) % 4 == 2
 
 
-def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words without punctuation around them, and their beginnings (``rude*``); each text's distinct words as indices; and the texts these belong to."""
+def distinct_words(texts: pa.Array, plain: dict[str, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words without punctuation around them, and their beginnings (``rude*``); each text's distinct words as indices; and the texts these belong to.
+
+    Numbers go on from those in ``plain``, if it is given.
+    """
     found, code, counts = words(texts)
-    plain: dict[str, int] = {}
+    plain = {} if plain is None else plain
     bare = [_EDGE.sub("", w) for w in found.to_pylist()]
     of = np.array([[plain.setdefault(w[:k] + "*" * (len(w) > k), len(plain)) for k in (len(w), *STEMS)] for w in bare], np.int64).reshape(-1, 1 + len(STEMS))
     texts_of = np.repeat(np.arange(len(counts)), counts) * max(1, len(plain))
@@ -69,31 +73,30 @@ def patterns(texts: list[str]) -> np.ndarray:
     return out
 
 
-def mine_lexicon(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words that stand in toxic texts over three times as often, by a likelihood-ratio test, surest first."""
-    bad = Counter(w for t, y in zip(texts, toxic, strict=True) if y for w in t)
-    good = Counter(w for t, y in zip(texts, toxic, strict=True) if not y for w in t if w in bad)
-    n, m = int(toxic.sum()), int((~toxic).sum())
+def mine_lexicon(names: list[str], bad: np.ndarray, good: np.ndarray, n: int, m: int) -> list[str]:
+    """Words that stand in toxic texts (``bad`` of n) over three times as often as in others (``good`` of m), by a
+    likelihood-ratio test, surest first."""
     scored = []
-    for word, k in bad.items():
-        g = good[word]
-        if word and k >= LEAST_SUPPORT and k * m > 3 * g * n:
-            share = (k + g) / (n + m)
-            gain = sum(c * math.log(c / e) for c, e in ((k, n * share), (n - k, n - n * share), (g, m * share), (m - g, m - m * share)) if c and e)
-            if 2 * gain > LEAST_EVIDENCE:
-                scored.append((gain, word))
+    for at in np.flatnonzero((bad >= LEAST_SUPPORT) & (bad * m > 3 * good * n)).tolist():
+        k, g = int(bad[at]), int(good[at])
+        share = (k + g) / (n + m)
+        gain = sum(c * math.log(c / e) for c, e in ((k, n * share), (n - k, n - n * share), (g, m * share), (m - g, m - m * share)) if c and e)
+        if names[at] and 2 * gain > LEAST_EVIDENCE:
+            scored.append((gain, names[at]))
     return [w for _, w in sorted(scored, reverse=True)][:LEXICON]
 
 
-def first_of_kind(texts: list[set[str]], bands: int = 4, wide: int = 6) -> np.ndarray:
-    """False for a text that shares a band of min-hashes of its words with an earlier one: copies prove nothing twice."""
+def first_of_kind(codes: np.ndarray, ends: np.ndarray, bands: int = 4, wide: int = 6) -> np.ndarray:
+    """False for a text that shares a band of min-hashes of its words with an earlier one: copies prove nothing twice.
+
+    ``codes`` holds all texts' word hashes, text after text, up to ``ends`` each.
+    """
     odd = np.random.default_rng(1).integers(1, 1 << 62, bands * wide, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     met: set[tuple] = set()
-    out = np.ones(len(texts), bool)
-    for i, text in enumerate(texts):
-        if len(text) >= 10:
-            codes = np.array([zlib.crc32(w.encode()) for w in text], np.uint64)
-            least = ((codes[:, None] + np.uint64(1)) * odd >> np.uint64(20)).min(axis=0)
+    out = np.ones(len(ends), bool)
+    for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)):
+        if b - a >= 10:
+            least = ((codes[a:b, None] + np.uint64(1)) * odd >> np.uint64(20)).min(axis=0)
             keys = [(k, *least[k * wide : (k + 1) * wide].tolist()) for k in range(bands)]
             out[i] = not any(k in met for k in keys)
             met.update(keys)
@@ -161,21 +164,35 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     constant = np.zeros(base + len(PATTERNS) + 1)
     constant[-1] = math.log(max(share, 1e-4) / max(1 - share, 1e-4))
     half = np.arange(len(texts)) % 2 == 0
-    array = pa.array(texts, pa.string())
-    found, word, owner = distinct_words(array)
-    sets: list[set[str]] = [set() for _ in texts]
-    for o, w in zip(owner.tolist(), word.tolist(), strict=True):
-        sets[o].add(found[w])
-    own = half & first_of_kind(sets)
-    lexicon = mine_lexicon([s for s, h in zip(sets, own.tolist(), strict=True) if h], toxic[own]) if toxic[own].any() else []
+    plain: dict[str, int] = {}
+    parts = []
+    for first in range(0, len(texts), PART):
+        _, word, owner = distinct_words(pa.array(texts[first : first + PART], pa.string()), plain)
+        parts.append((word.astype(np.int32), (owner + first).astype(np.int32)))
+    if not parts:
+        return Model([], constant)
+    word, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names = list(plain)
+    codes = np.array([zlib.crc32(w.encode()) for w in names], np.uint64)
+    own = half & first_of_kind(codes[word], np.searchsorted(owner, np.arange(len(texts)), "right"))
+    bad, good = (np.bincount(word[(own & y)[owner]], minlength=len(names)) for y in (toxic, ~toxic))
+    lexicon = mine_lexicon(names, bad, good, int((own & toxic).sum()), int((own & ~toxic).sum()))
     if not lexicon:
         return Model([], constant)
-    votes = np.array([[w in s for w in lexicon] for s in sets], bool)
+    column = np.full(len(names), -1)
+    column[[plain[w] for w in lexicon]] = np.arange(len(lexicon))
+    voted = np.flatnonzero(column[word] >= 0)
+    votes = np.zeros((len(texts), len(lexicon)), bool)
+    votes[owner[voted], column[word[voted]]] = True
+    del word, owner, names, plain, codes, parts
     posterior = label_model(np.concatenate([votes, patterns(texts)], axis=1), float(toxic[half].mean()))
     model = Model(lexicon, np.zeros(base + len(PATTERNS) + len(lexicon) + 1))
-    index, row = model.rows(array)
-    order = np.argsort(row, kind="stable")
-    index, row = index[order], row[order]
+    parts = []
+    for first in range(0, len(texts), PART):
+        index, row = model.rows(pa.array(texts[first : first + PART], pa.string()))
+        parts.append((index.astype(np.int32), (row + first).astype(np.int32)))
+    index, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     weights, squares = model.weights, np.full(len(model.weights), 1e-8)
     rate = np.full(len(weights), 0.0005)
     rate[base:] = 0.1  # votes and the constant are few and common, words many and rare
