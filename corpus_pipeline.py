@@ -55,7 +55,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", packing_stage),
 ]
-#: Binomial bounds, boosted trees and packing are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Binomial bounds, boosted trees and packing are beyond SQL.
 ORACLE_SQL = None
 
 
