@@ -3,11 +3,12 @@
 Terms are runs of letters and digits, lower-cased.  The lexicon keeps those in a band of document frequency: at least
 ``LEAST_SHARE`` and at most ``MOST_SHARE`` of all documents.  A document of d distinct terms adds at most d to the sum
 of frequencies, so the lexicon has at most d / LEAST_SHARE entries for the mean d, however many documents there are;
-this is why it may be broadcast.  The lexicon is divided at random into ``SUBSETS`` subsets.  A document's distinct
+this is why it may go to all tasks.  The lexicon is divided at random into ``SUBSETS`` subsets.  A document's distinct
 terms are sorted, and those of each subset are hashed; a fingerprint is the list of the hashes.  Two fingerprints are
 alike in the share of subsets with equal hashes among those in which either document has a term.
 
-Terms meet the lexicon in the partition of their document, so that only the texts are shuffled.
+The lexicon is a constant of the plan, an array of small maps found by the term's hash: a text meets it in its own
+row, without a join, so that only texts are shuffled: once by their id, and the first part of each to the one before.
 """
 
 from __future__ import annotations
@@ -46,8 +47,23 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return inside.join(after, "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
 
 
-def fingerprint_of(found):
-    """The fingerprint of an array of struct(term, subset)."""
+def constant(words: DataFrame, per_slot: int = 4):
+    """The lexicon as a constant column: maps of term to subset, in slots by the term's hash."""
+    rows = words.select("term", "subset", F.xxhash64("term").alias("at")).collect()  # mean terms of a document / LEAST_SHARE at most
+    slots = max(1, len(rows) // per_slot)
+    maps: list[list[str]] = [["'',-1"] for _ in range(slots)]
+    for r in rows:
+        if r.term:
+            maps[r.at % slots].append(f"'{r.term}',{r.subset}")
+    return F.expr("array(" + ",".join(f"map({','.join(m)})" for m in maps) + ")"), slots
+
+
+def fingerprint_of(text, words):
+    """The fingerprint of a text by a ``constant`` lexicon."""
+    slot_maps, slots = words
+
+    def subset(t):
+        return F.try_element_at(F.get(slot_maps, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")), t)
 
     def hashes(ordered):
         def one(k):
@@ -56,8 +72,9 @@ def fingerprint_of(found):
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ".")
 
+    met = F.filter(F.transform(terms(text), lambda t: F.struct(t.alias("term"), subset(t).alias("subset"))), lambda x: x["subset"] >= 0)
     # the array of one element makes Spark sort once a row, not once a subset
-    return F.transform(F.array(F.array_sort(found)), hashes)[0]
+    return F.transform(F.array(F.array_sort(met)), hashes)[0]
 
 
 def likeness(a, b):
@@ -68,37 +85,24 @@ def likeness(a, b):
     return F.when(either == 0, F.lit(1.0)).otherwise(equal / either)
 
 
-def fingerprints(rows: DataFrame, columns: dict[str, str], words: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and one fingerprint column for each text column of ``columns`` (text column: its fingerprint's name).
-
-    ``rows`` should be partitioned by doc_id already: nothing is shuffled then.
-    """
-    tagged = F.concat(*[F.transform(F.concat(F.array(F.lit("")), F.filter(terms(F.col(c)), lambda t: t != "")), _tag(i)) for i, c in enumerate(columns)])
-    # terms of all texts of a row, each with its subset; the empty term keeps rows without any other
-    numbered = rows.select(*keep, F.monotonically_increasing_id().alias("row_number"), tagged.alias("terms"))
-    flat = numbered.select(*keep, "row_number", F.explode("terms").alias("x")).select(*keep, "row_number", "x.which", "x.term")
-    met = flat.join(F.broadcast(words), "term")
-    of = {name: F.collect_list(F.when((F.col("which") == i) & (F.col("subset") >= 0), F.struct("term", "subset"))).alias(name) for i, name in enumerate(columns.values())}
-    grouped = met.groupBy(*keep, "row_number").agg(*of.values())
-    return grouped.select(*keep, *[fingerprint_of(F.col(name)).alias(name) for name in columns.values()])
-
-
-def _tag(i: int):
-    return lambda t: F.struct(F.lit(i).alias("which"), t.alias("term"))
-
-
-def edited_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, next_id, edited) of (doc_id, text): the end of each text becomes the start of the next's.
+def edited_documents(docs: DataFrame, words) -> DataFrame:
+    """(doc_id, text, edited, next_fingerprint) of (doc_id, text): the end of each text becomes the start of the next's.
 
     Of rows that share an id, the one with the least MD5 of its text stands for the document; a row without an id has
     no next document, and its end is only cut off.
     """
-    base = docs.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
-    wanted = base.groupBy("doc_id").agg(F.max("n_chars").alias("n")).join(next_ids(docs.select("doc_id")), "doc_id").select(F.col("doc_id").alias("of"), "next_id", F.floor(F.col("n") / 2).cast("int").alias("need"))
-    heads = base.join(wanted, base.doc_id == wanted.next_id).select(F.col("of").alias("doc_id"), "next_id", F.struct(F.md5("text").alias("name"), F.left("text", "need").alias("head")).alias("x"))
-    heads = heads.groupBy("doc_id", "next_id").agg(F.min("x").alias("x")).select("doc_id", "next_id", F.col("x.head").alias("head"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    return base.join(heads, "doc_id", "left").select("doc_id", "text", "n_chars", "next_id", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.coalesce(F.left("head", half), F.lit(""))).alias("edited"))
+    known = docs.filter(F.col("doc_id").isNotNull())
+    need = F.floor(F.max(F.char_length("text")) / 2).cast("int")
+    wanted = known.groupBy("doc_id").agg(need.alias("need")).join(next_ids(known.select("doc_id")), "doc_id").select(F.col("doc_id").alias("of"), "next_id", "need")
+    one = F.struct(F.md5("text").alias("name"), F.left("text", "need").alias("head"), fingerprint_of(F.col("text"), words).alias("fingerprint"))
+    heads = known.join(wanted, known.doc_id == wanted.next_id).select(F.col("of").alias("doc_id"), one.alias("x"))
+    heads = heads.groupBy("doc_id").agg(F.min("x").alias("x"))
+    # both joins shuffle the same columns by the same key, so that Spark shuffles the texts once
+    rows = known.join(heads, "doc_id", "left").select("doc_id", "text", "x")
+    rows = rows.unionByName(docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", F.char_length("text") - half), F.coalesce(F.left("x.head", half), F.lit("")))
+    return rows.select("doc_id", "text", edited.alias("edited"), F.col("x.fingerprint").alias("next_fingerprint"))
 
 
 def compare(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -109,13 +113,13 @@ def compare(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    words = materialise(lexicon(docs), "lexicon")
-    keep = ["doc_id", "next_id", "n_chars", "name", "edited_sha256"]
-    rows = edited_documents(docs).withColumns({"name": F.md5("text"), "edited_sha256": F.sha2("edited", 256)})
-    made = materialise(fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"}, words, keep), "fingerprints")
-    after = made.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("name", "fingerprint")).alias("x")).select("next_id", F.col("x.fingerprint").alias("next_fingerprint"))
+    words = constant(lexicon(docs))
+    rows = edited_documents(docs, words).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint_of(F.col("text"), words).alias("fingerprint"), fingerprint_of(F.col("edited"), words).alias("edited_fingerprint"), "next_fingerprint",
+    )
     near_next = F.when(F.col("next_fingerprint").isNull(), F.lit(0.0)).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint")))
-    return made.join(after, "next_id", "left").select(
+    return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), near_next.alias("near_next"),
     )
