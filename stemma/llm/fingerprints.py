@@ -99,7 +99,9 @@ def edited_documents(docs: DataFrame, words) -> DataFrame:
     heads = heads.groupBy("doc_id").agg(F.min("x").alias("x"))
     # both joins shuffle the same columns by the same key, so that Spark shuffles the texts once
     rows = known.join(heads, "doc_id", "left").select("doc_id", "text", "x")
-    rows = rows.unionByName(docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
+    unknown = docs.filter(F.col("doc_id").isNull())
+    if not unknown.isEmpty():
+        rows = rows.unionByName(unknown, allowMissingColumns=True)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - half), F.coalesce(F.left("x.head", half), F.lit("")))
     return rows.select("doc_id", "text", edited.alias("edited"), F.col("x.fingerprint").alias("next_fingerprint"))
@@ -112,12 +114,15 @@ def compare(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts have equal fingerprints always.  Repeated rows stay.  A single document is its own next one.  An empty table
     gives no rows; other columns are not read.
     """
-    docs = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    own = F.col(f"`{id_column}`")
+    if id_column != "doc_id":  # an alias to the same name would keep Spark from seeing that two shuffles are one
+        own = own.alias("doc_id")
+    docs = docs.select(own, F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     words = constant(lexicon(docs))
     rows = edited_documents(docs, words).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint_of(F.col("text"), words).alias("fingerprint"), fingerprint_of(F.col("edited"), words).alias("edited_fingerprint"), "next_fingerprint",
-    )
+        F.transform(F.array("text", "edited"), lambda t: fingerprint_of(t, words)).alias("made"), "next_fingerprint",
+    ).withColumns({"fingerprint": F.col("made")[0], "edited_fingerprint": F.col("made")[1]})
     near_next = F.when(F.col("next_fingerprint").isNull(), F.lit(0.0)).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint")))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
