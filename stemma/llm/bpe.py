@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The texts of a block (one Arrow batch of a task) are taken as one corpus.  Its distinct words are laid end to end in
+The texts of a block (about ``BLOCK_BYTES`` of a task's texts, or one longer text) are taken as one corpus.  Its distinct words are laid end to end in
 one symbol array, an inverted index maps each token pair (by the rank of its merge) to the positions where it stands,
 and every merge that occurs is applied in rank order to all its positions at once; only the neighbours of a merged
 pair are looked up again and enter the index.  Nothing is kept between blocks, so memory is bounded by a block and a
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 _ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 _CUT = regex.compile(r" (?=[^\s\x1c-\x1f])")
 _NONE = np.int64(1) << 40
+#: Bytes of text encoded, and ids decoded, at once: Arrow batches are bounded in rows, not in memory.
+BLOCK_BYTES, BLOCK_IDS = 10 << 20, 1 << 19
 
 
 def vocabulary_path(name: str) -> str:
@@ -53,6 +55,17 @@ def ragged(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[
     return values[at], lengths
 
 
+def blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` in size and one row more."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def _sizes(lengths: pa.Array) -> np.ndarray:
+    return pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def chunk(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks of the texts, each text's chunks as indices into them, and the number of chunks in each text.
 
@@ -253,9 +266,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = engine(path, pattern)
         for batch in batches:
-            ids, ends = coder.encode(pc.fill_null(batch.column(1), ""))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+            for part in blocks(batch, _sizes(pc.binary_length(batch.column(1))), BLOCK_BYTES):
+                ids, ends = coder.encode(pc.fill_null(part.column(1), ""))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -270,13 +284,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in coder.tokens])])
         flat = np.frombuffer(b"".join(coder.tokens), np.uint8)
         for batch in batches:
-            lists = batch.column(1)
-            of = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, sizes = ragged(flat, offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(of)])]
-            raw = data.tobytes()
-            out = pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, out], ["doc_id", "ids", "decoded"])
+            for part in blocks(batch, _sizes(pc.list_value_length(batch.column(1))), BLOCK_IDS):
+                lists = part.column(1)
+                of = _sizes(pc.list_value_length(lists))
+                data, sizes = ragged(flat, offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(of)])]
+                raw = data.tobytes()
+                out = pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, out], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
