@@ -31,7 +31,7 @@ _ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 _CUT = regex.compile(r" (?=[^\s\x1c-\x1f])")
 _NONE = np.int64(1) << 40
 #: Bytes of text encoded, and ids decoded, at once: Arrow batches are bounded in rows, not in memory.
-BLOCK_BYTES, BLOCK_IDS = 10 << 20, 1 << 19
+BLOCK_BYTES, BLOCK_IDS = 3 << 20, 1 << 18
 
 
 def vocabulary_path(name: str) -> str:
