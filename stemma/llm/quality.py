@@ -1,16 +1,26 @@
 """Quality rules with risk-controlled thresholds.
 
-Each document has some signals, larger meaning worse.  A stratum (the language) and a signal have a fixed grid of
-cutoffs, from the most lenient down.  On labelled documents a cutoff's false rejections are the good documents above
-it; it is certified if an exact binomial test rejects "the rate of false rejections is over ALPHA / signals", that is
-if the Clopper-Pearson upper bound is below that rate.  Error is split over all strata and signals (Bonferroni); within
-a grid the cutoffs are tested from the most lenient on until one fails (fixed sequence), which needs no further split.
-With probability 1 - DELTA no stratum therefore loses more than ALPHA of its good documents to the thresholds.  Of the
-certified cutoffs the one that sets apart most bad from good documents is used, the most lenient of equals; a stratum
-with too few labels to certify anything has no thresholds.
+Each document has some signals, larger meaning worse.  A signal has a fixed grid of cutoffs, from the most lenient
+down.  On labelled documents a rule's false rejections are the good documents above it; it is certified if an exact
+binomial test rejects "the rate of false rejections is over the rate allowed", that is if the Clopper-Pearson upper
+bound is below that rate.  Within a path of ever stricter rules these are tested from the most lenient on until one
+fails (fixed sequence), which needs no split of the error.  A stratum (the language) has two sorts of tests, which
+share its error, DELTA / (strata + 1), in halves:
+
+* one for each signal's grid at the rate ALPHA / signals, the half split again over the signals;
+* a joint one at the rate ALPHA, along a path of cutoffs for all signals at once, which needs far fewer labels.  The
+  path ends at the cutoffs that the labels of the *other* strata suggest, so that it does not depend on the labels that
+  test it; where they suggest none, it is the grids' common index.
+
+With probability 1 - DELTA no stratum therefore loses more than ALPHA of its good documents to thresholds of its own.
+Of the certified rules of a path the one that sets apart most bad from good documents is used, the most lenient of
+equals, and so of the two sorts.  A stratum whose labels certify neither takes the cutoffs that all strata pooled
+certify by the same tests (the pool has a share of the error too), save those that more than ALPHA / signals of its own
+good documents exceed; their bound holds over the pool, not for that stratum alone.  A stratum without good labels,
+about which the pool says nothing, has no thresholds, nor has any if the pool too has too few labels.
 
 Labels and grids are counted in one aggregation; a group of strata's counts is a few hundred numbers however many
-documents there are.
+documents there are.  Both read the labelled documents' places on the grids from a scratch table.
 """
 
 from __future__ import annotations
@@ -25,10 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 ALPHA, DELTA = 0.02, 0.05
 SIGNALS = ("symbols", "marks", "capitals", "repeats", "repeated_lines", "long_words")
+#: Name of the number of cutoffs that a document's worst signal exceeds, beside those of the signals.
+JOINT = "joint"
 #: Cutoffs of a signal, most lenient first: this many, each a fixed part of the one before it.
 STEPS, RATIO = 48, 0.9
 #: A signal's most lenient cutoff.
@@ -138,39 +150,85 @@ def choose(good: np.ndarray, bad: np.ndarray, rate: float, error: float) -> int
     return best
 
 
+def marginal(cells: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each signal, and JOINT, how many good and bad documents exceed 0, 1, ... cutoffs, from (signal, over, good, bad)."""
+    out = {s: (np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)) for s in (*SIGNALS, JOINT)}
+    for signal, of in cells.groupby("signal"):
+        for counts, sort in zip(out[signal], ("good", "bad"), strict=True):
+            np.add.at(counts, of["over"].to_numpy(), of[sort].to_numpy())
+    return out
+
+
+def separate(counts: dict, alpha: float, error: float) -> dict[str, int]:
+    """Indices of the cutoffs that hold signal by signal; ``error`` is that of all signals."""
+    found = {s: choose(*counts[s], alpha / len(SIGNALS), error / len(SIGNALS)) for s in SIGNALS}
+    return {s: at for s, at in found.items() if at is not None}
+
+
+def pooled(counts: dict, alpha: float, error: float) -> dict[str, int]:
+    """Indices of the cutoffs certified on the pool: signal by signal, or if there are none, at a common index."""
+    found = separate(counts, alpha, error / 2)
+    common = None if found else choose(*counts[JOINT], alpha, error / 2)
+    return found if common is None else dict.fromkeys(SIGNALS, common)
+
+
 def calibrate(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs map<signal, double>) from (doc_id, text, lang) and (doc_id, quality).
+    """(stratum, basis, cutoffs map<signal, double>) from (doc_id, text, lang) and (doc_id, quality).
 
-    Of several labels for an id the worst counts; labels without an id or value are no labels.  Rows without a
-    language are a stratum of their own.
+    ``basis`` tells which labels certify the cutoffs: 'signals' or 'joint' those of the stratum, 'pool' those of all
+    strata, 'none' none.  Of several labels for an id the worst counts; labels without an id or value are no labels.
+    Rows without a language are a stratum of their own.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = features(docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), F.col("text").cast("string").alias("text")), 2).drop("text", *COUNTS)
-    cells = [F.struct(F.lit(s).alias("signal"), _exceeded(s).alias("over")) for s in SIGNALS]
-    counted = (
-        rows.join(known, "doc_id").select(F.coalesce("stratum", F.lit("")).alias("stratum"), "quality", F.explode(F.array(*cells)).alias("c"))
-        .groupBy("stratum", "c.signal", "c.over").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad"))
-    )
-    strata = counted.select("stratum").distinct().count()
-    error, rate = delta / max(1, strata * len(SIGNALS)), alpha / len(SIGNALS)
+    over = [_exceeded(s).alias(s) for s in SIGNALS]
+    labelled = materialise(rows.join(known, "doc_id").select(F.coalesce("stratum", F.lit("")).alias("stratum"), (F.col("quality") > 0).alias("is_good"), *over), "labelled")
+    tally = [F.count_if("is_good").alias("good"), F.count_if(~F.col("is_good")).alias("bad")]
+    places = {s: F.col(s) for s in SIGNALS} | {JOINT: F.greatest(*SIGNALS)}
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), at.alias("over")) for s, at in places.items()]))
+    counted = labelled.select("stratum", "is_good", cells.alias("c")).groupBy("stratum", "c.signal", "c.over").agg(*tally)
+    error = delta / (counted.select("stratum").distinct().count() + 1)
+    total = marginal(counted.groupBy("signal", "over").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas())
+    pool = pooled(total, alpha, error)
+
+    def propose(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        own = marginal(cells)
+        others = {s: (total[s][0] - own[s][0], total[s][1] - own[s][1]) for s in own}
+        n = own[JOINT][0].sum()
+        # a path only suggests, so its end needs no certificate: an error of 1 a signal asks for no more than the rate
+        lent = {s: at for s, at in pool.items() if n and own[s][0][STEPS - at :].sum() <= n * alpha / len(SIGNALS)}
+        path = separate(others, alpha, len(SIGNALS)) or dict.fromkeys(SIGNALS, STEPS - 1)
+        return pd.DataFrame({"stratum": [key[0]], "own": [separate(own, alpha, error / 2)], "path": [path], "lent": [lent]})
+
+    def reach(cutoffs: str):
+        """How many rules a document exceeds of the path that ends at these cutoffs, each rule one index stricter."""
+        each = [F.when(F.col(s) > 0, F.element_at(cutoffs, F.lit(s)) + F.col(s) - STEPS + 1) for s in SIGNALS]
+        return F.coalesce(F.least(F.greatest(*each, F.lit(0)), F.lit(STEPS)), F.lit(0))
 
     def certify(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        out = {}
-        for signal, of in cells.groupby("signal"):
-            good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
-            good[of["over"]], bad[of["over"]] = of["good"], of["bad"]
-            at = choose(good, bad, rate, error)
-            if at is not None:
-                out[signal] = grid(signal)[at]
-        return pd.DataFrame({"stratum": [key[0]], "cutoffs": [out]})
-
-    return counted.groupBy("stratum").applyInPandas(certify, "stratum string, cutoffs map<string,double>")
+        own, path, lent = (dict(cells[c].iloc[0]) for c in ("own", "path", "lent"))
+        good, bad = (np.bincount(cells["over"], cells[c], STEPS + 1).astype(np.int64) for c in ("good", "bad"))
+        at = choose(good, bad, alpha, error / 2)
+        rules = {"signals": (int((cells["bad"] - cells["good"])[cells["hit"]].sum()), own)} if own else {}
+        if at is not None:
+            shifted = {s: i - (STEPS - 1 - at) for s, i in path.items()}
+            rules["joint"] = (int(bad[STEPS - at :].sum() - good[STEPS - at :].sum()), {s: i for s, i in shifted.items() if i >= 0})
+        if not rules:
+            rules["pool" if lent else "none"] = (0, lent)
+        basis = max(rules, key=lambda name: rules[name][0])  # the first of equals
+        return pd.DataFrame({"stratum": [key[0]], "basis": [basis], "cutoffs": [{s: grid(s)[i] for s, i in rules[basis][1].items()}]})
+
+    ways = "map<string,int>"
+    proposed = counted.groupBy("stratum").applyInPandas(propose, f"stratum string, own {ways}, path {ways}, lent {ways}")
+    met = labelled.join(proposed, "stratum").select("stratum", "own", "path", "lent", "is_good", reach("path").alias("over"), (reach("own") > 0).alias("hit"))
+    told = met.groupBy("stratum", "over", "hit").agg(*[F.first(c).alias(c) for c in ("own", "path", "lent")], *tally)
+    return told.groupBy("stratum").applyInPandas(certify, "stratum string, basis string, cutoffs map<string,double>")
 
 
 def judge(docs: DataFrame, cutoffs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
     """(doc_id, text, the counts, base_failed, kept, rest), ``rest`` a struct of the other columns.
 
-    A null text has no words and fails the base rules; so does an empty one.  A row of a stratum without certified
+    A null text has no words and fails the base rules; so does an empty one.  A row of a stratum without any
     cutoffs is kept unless the base rules fail.  Repeated rows are judged alike; an empty table gives no rows.
     """
     rest = [c for c in docs.columns if c not in (id_column, text_column)]
@@ -179,6 +237,7 @@ def judge(docs: DataFrame, cutoffs: DataFrame, id_column: str = "doc_id", text_c
         F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("rest"),
     )
     small = cutoffs.limit(MOST_SENT + 1).count() <= MOST_SENT
+    cutoffs = cutoffs.select("stratum", "cutoffs")
     joined = features(rows, 1).join(F.broadcast(cutoffs) if small else cutoffs, "stratum", "left")
     over = F.lit(False)
     for s in SIGNALS:
@@ -189,8 +248,6 @@ def judge(docs: DataFrame, cutoffs: DataFrame, id_column: str = "doc_id", text_c
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``judge`` with thresholds calibrated on the same table."""
-    from .common import materialise
-
     return judge(docs, materialise(calibrate(docs, labels), "cutoffs"))
 
 

@@ -132,6 +132,19 @@ def test_thresholds_hold_the_risk():
     assert quality.choose(good, bad, 0.01, 0.001) is None
 
 
+def test_strata_with_few_labels_have_certified_thresholds(spark):
+    rows = []  # strata of 700, 500, 400 and 30 good documents: too few to certify any signal by itself at ALPHA / 6
+    for lang, n in (("a", 700), ("b", 500), ("c", 400), ("d", 30)):
+        rows += [(f"{lang}{i}", " ".join(f"w{(i + k) % 50}" for k in range(20)), lang, 1) for i in range(n)]
+        rows += [(f"{lang}x{i}", " ".join(f"w{(i + k) % 50}" for k in range(20)) + " " + "#" * 60, lang, 0) for i in range(10)]
+    rows += [(f"z{i}", "#" * 60 + " " + " ".join(f"v{k}" for k in range(20)), "z", None) for i in range(5)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows if r[3] is not None], "doc_id string, quality int, toxic int")
+    assert {r.stratum: r.basis for r in quality.calibrate(docs, labels).collect()} == {"a": "joint", "b": "joint", "c": "joint", "d": "pool"}
+    kept = {r.doc_id: r.kept for r in quality.filter_documents(docs, labels).collect()}
+    assert all(kept[i] == (label != 0) for i, _, _, label in rows)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
