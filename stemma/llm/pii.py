@@ -35,8 +35,8 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+])\+?\(?[0-9]{2,4}+\)?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}+(?![0-9])",
 }
-#: What a text must have for a kind to be looked for at all.
-NEEDS = {"email": "@|at[\\])]", "ip": "[0-9][.,:][0-9]", "card": "[0-9][\\x20.-]?[0-9]", "phone": "[0-9][\\x20.)-]"}
+#: What a text must have for a kind to be looked for at all: any match of the kind's BASE or WIDE has a match of this.
+NEEDS = {"email": "@|at[\\])]", "ip": "[0-9][.,:][0-9]", "card": "[0-9][\\x20.-]?[0-9]", "phone": "\\+[0-9]|[0-9][\\x20.)-]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 AROUND, MAX_ROWS, MAX_DOCS, PRECISION = 24, 20_000, 40_000, 0.95
 ROUNDS, RATE, LEAST_LEAF = 24, 0.4, 10

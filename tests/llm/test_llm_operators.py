@@ -205,6 +205,13 @@ def test_personal_data(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_compact_phone_numbers(spark):
+    texts = ["Call +4915112345678, or write.", "Call +12125550100\nnow", "+12125550100", "(+4915112345678)"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.found if x.base and x.kind == "phone"] for r in pii.find(rows).collect()}
+    assert got == {i: [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)] for i, t in enumerate(texts)} and all(got.values())
+
+
 def test_fingerprints(spark, docs, empty):
     one = docs.dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.compare(one).collect()}
