@@ -7,6 +7,10 @@ this is why it may go to all tasks.  The lexicon is divided at random into ``SUB
 terms are sorted, and those of each subset are hashed; a fingerprint is the list of the hashes.  Two fingerprints are
 alike in the share of subsets with equal hashes among those in which either document has a term.
 
+A text without any term of the lexicon, as those of a rare language or script may be, is fingerprinted by all its own
+terms, divided among the subsets in the same way; one without letters and digits by the text itself.  So two texts are
+wholly alike only if they have the same terms, and a text of lexicon terms is not like one that has none.
+
 The lexicon is a constant of the plan, an array of small maps found by the term's hash: a text meets it in its own
 row, without a join, so that only texts are shuffled: once by their id, and the first part of each to the one before.
 """
@@ -27,13 +31,16 @@ def terms(text):
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
+def subset_of(term):
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), term)), 1, 6), 16, 10).cast("int") % SUBSETS
+
+
 def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """(term, subset) of the terms inside the band, from the column ``text``; and the empty term, of no subset."""
     total = texts.count()
     counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counted.filter((F.col("n") >= max(2, least * total)) & (F.col("n") <= max(2, most * total)))
-    subset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.col("term"))), 1, 6), 16, 10).cast("int") % SUBSETS
-    return band.select("term", subset.alias("subset")).unionByName(texts.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
+    return band.select("term", subset_of(F.col("term")).alias("subset")).unionByName(texts.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -73,12 +80,15 @@ def fingerprint_of(text, words):
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ".")
 
     met = F.filter(F.transform(terms(text), lambda t: F.struct(t.alias("term"), subset(t).alias("subset"))), lambda x: x["subset"] >= 0)
+    own = F.filter(F.when(F.size(F.array_remove(terms(text), "")) > 0, terms(text)).otherwise(F.array(F.trim(text))), lambda t: t.rlike(r"\S"))
+    unmet = F.transform(own, lambda t: F.struct(t.alias("term"), subset_of(t).alias("subset")))
+    met = F.transform(F.array(met), lambda m: F.when(F.size(m) > 0, m).otherwise(unmet))[0]
     # the array of one element makes Spark sort once a row, not once a subset
     return F.transform(F.array(F.array_sort(met)), hashes)[0]
 
 
 def likeness(a, b):
-    """Of two fingerprints, 0 to 1; two without any term are equal."""
+    """Of two fingerprints, 0 to 1; two of blank texts are equal."""
     pairs = F.arrays_zip(F.split(a, r"\.").alias("a"), F.split(b, r"\.").alias("b"))
     either = F.size(F.filter(pairs, lambda x: (x["a"] != _NONE) | (x["b"] != _NONE)))
     equal = F.size(F.filter(pairs, lambda x: (x["a"] != _NONE) & (x["a"] == x["b"])))
@@ -110,7 +120,7 @@ def edited_documents(docs: DataFrame, words) -> DataFrame:
 def compare(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    A null or empty text has no term: its fingerprint is that of all texts without terms of the lexicon, and equal
+    A null text is blank; blank texts share one fingerprint, that without any hash, and equal
     texts have equal fingerprints always.  Repeated rows stay.  A single document is its own next one.  An empty table
     gives no rows; other columns are not read.
     """

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stemma.llm import bpe, fingerprints, jaccard_join, line_dedup, packing, pii, quality, sharding, toxicity, urls
@@ -212,6 +213,19 @@ def test_compact_phone_numbers(spark):
     assert got == {i: [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)] for i, t in enumerate(texts)} and all(got.values())
 
 
+def test_fingerprints_without_lexicon_terms(spark):
+    rows = [(i, f"alpha beta gamma{i % 3} delta{i % 5}") for i in range(40)]
+    # each rare text has terms that no other document but its copy has, or no terms at all
+    rare = ["\u4e00\u4e8c\u4e09\u56db \u4e94", "\u516d\u4e03\u516b \u4e5d", "!!! ???", "*** ---", "", None, "\u4e94 \u4e00\u4e8c\u4e09\u56db"]
+    docs = spark.createDataFrame([*rows, *((100 + i, t) for i, t in enumerate(rare))], "doc_id long, text string")
+    words = fingerprints.constant(spark.createDataFrame([("delta1", 3), ("gamma1", 4)], "term string, subset int"))
+    made = docs.select("doc_id", fingerprints.fingerprint_of(F.coalesce("text", F.lit("")), words).alias("f"))
+    pairs = made.alias("a").crossJoin(made.alias("b")).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), fingerprints.likeness(F.col("a.f"), F.col("b.f")).alias("like"))
+    same = {(r.x, r.y) for r in pairs.filter("like = 1 and x < y and x >= 100").collect()}
+    assert same == {(100, 106), (104, 105)}
+    assert pairs.filter("x = 1 and y >= 100 and like > 0").count() == 0
+
+
 def test_fingerprints(spark, docs, empty):
     one = docs.dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.compare(one).collect()}
