@@ -413,6 +413,9 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     Texts without words, and null texts, have no shingles and are linked with nothing; a text of one to four words is
     one shingle.  Equal texts are linked.  Rows without an id are not linked and have no component; rows that share an
     id are judged each by its own text.  An empty table gives no rows; other columns are not read.
+
+    Components only: neither the links of a document nor their number, as in buckets of more than four classes pairs
+    inside a component that is already joined are not looked for.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
