@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space of every contract, ``[\x20\x09-\x0D]``; ``bytes.split()`` splits at the same set.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names it; a session without that setting (tests) gets a temporary folder of its own.
+    Where it is unset, a session whose executors are the driver itself (tests) gets a folder of its own; any other raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stemma-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stemma-{tag}-{uuid.uuid4().hex}"
@@ -33,20 +34,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends, and a lost executor costs nothing."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def lower_ascii(column):
-    return F.translate(column, UPPER, LOWER)
-
-
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the operator's own names, so that no other column can clash with them."""
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -3,18 +3,25 @@
 A document is its set of distinct five-word shingles.  Equal sets are one class, joined no further.  Classes A and B
 link if 7 * |A & B| >= 3 * (|A| + |B|), that is at a Jaccard similarity of 0.75 or more.
 
-* Routing.  In any order of shingles that all classes share, two linked classes have a shingle in common among the
-  first n - ceil(3n / 4) + 1 of each.  The order puts frequent shingles last (a bounded list, HEAVY_ENTRIES), else it
-  is that of the hashes.  A class goes to the bucket of each shingle of that prefix; buckets of one class end there.
-* Join within buckets.  A class's shingles are hashed into GROUPS groups; the counts are a point, and the overlap of
-  two classes is at most the sum of the smaller counts.  A bucket's points are packed into an R-tree whose boxes keep
-  the largest count of each group and the smallest set size, so the same sum bounds the overlap of any points below
-  two boxes.  The tree is joined with itself from the root; pairs of points that the bound leaves are bounded
-  once more with finer counts (groups in proportion to the set), and then verified on the sets themselves.
-* Large buckets (over SMALL_BUCKET classes, and all of frequent shingles) would have pairs in the square of their
-  size.  There each class is first paired with one class, the first of the bucket by a hash; verified links give
-  components; then only pairs of different components are joined, in blocks of BLOCK classes against blocks.  What is
-  left out is already in one component, so no link that matters is lost, and no group is expanded into all its pairs.
+* Routing, which only says what can meet.  In any order of shingles that all classes share, two linked classes have
+  their first k common shingles among the first n - ceil(3n / 4) + k of each.  The order puts frequent shingles last (a
+  bounded list, HEAVY_ENTRIES), else it is that of the hashes.  With k = 1 this is the base prefix, and a class goes to
+  the bucket of each of its shingles.  With k = ceil(n / SHARED) it is a filter: the k of a linked class of m shingles
+  is ceil(3n / 4 / SHARED) at least, as m is 3n / 4 at least, so a class that shares fewer shingles of that prefix
+  with the prefixes of others links with nothing, and takes no further part.
+* Count-vector R-tree.  A class's shingles are hashed into GROUPS groups; the counts are a point, and the overlap of two
+  classes is at most the sum of the smaller counts.  The points of a bucket are packed into an R-tree whose boxes keep
+  the largest count of each group and the least set size, so the same sum bounds the overlap of any points below two
+  boxes.  The tree is joined with itself from the root, each bucket (of equal buckets, one) in one task.  Pairs that the
+  bound leaves are not written: the task unites their classes and writes a spanning forest.  The forests of all buckets
+  give candidate clusters, which linked classes never straddle.
+* Verification.  A class's set is read again and sent once, to its cluster.  A task joins the cluster's R-tree with
+  itself and tests the pairs left on the sets; classes that are united already are not tested, nor are boxes whose
+  points all are.  Again only a spanning forest leaves the task, so no row stands for a pair, whatever a group's size.
+* Groups of more than BLOCK classes or BLOCK_BYTES (a bucket or a cluster may hold a third of all rows) are cut into
+  blocks.  Each is joined with itself; then its classes meet one class each of the CENTRES largest of the group's
+  components; what is then not of the group's largest component meets all blocks, block against block.  All pairs of
+  different components are so compared, and a class of the largest component is sent on only once a block of the rest.
 
 Components come from repeated least-label propagation with pointer jumping, as tables in the shared folder.
 """
@@ -27,22 +34,28 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, partitions_for, table
 from .shingles import mix, shingle_sets
 
 GROUPS, LEAF, FANOUT = 64, 16, 8
-SMALL_BUCKET, BLOCK = 4, 2000
+#: The longer prefix has one in so many of a class's shingles more; three in four of those must be shared.
+SHARED = 8
+NEED = f"(3 * n + {4 * SHARED - 1}) div {4 * SHARED}"
+#: The largest group that one task joins as a whole: classes, and bytes of their sets or vectors.
+BLOCK, BLOCK_BYTES, CENTRES = 8192, 64 << 20, 32
 #: Counts are kept in 16 bits; the bound says nothing about larger sets.
 LARGEST_BOUNDED = 2_000_000
 HEAVY_ENTRIES, HEAVY_LEAST = 1 << 18, 64
 #: Shingles that a task holds at a time, and the count from which it reports one as possibly frequent.
 FLUSH, REPORT = 4_000_000, 4
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE, BYTES_PER_TASK = 1_000_000, 16 << 20
 #: Ids that are sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 500_000
+#: A packed prefix entry: six bytes of the shingle's hash, whose last bit tells the base prefix, and the class.
+ENTRY = np.dtype([("key", "u1", 6), ("sid", "<u8")])
 
 
 def _set_name(hashes: np.ndarray) -> bytes:
@@ -56,16 +69,16 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.R
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """For every (doc_id, text): n, sig (128 bits of the set), sid (64 of them), vector, fine counts.  And counts of shingles that may be frequent."""
+    """For every (doc_id, text): n, sig (128 bits of the set), sid (64 of them) and vector.  And counts of shingles that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sig", "sid", "vector", "fine", "hash", "times"]
+        names = ["doc_id", "n", "sig", "sid", "vector", "hash", "times"]
         held, size, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             hashes, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times >= REPORT
-            blank = [pa.nulls(int(keep.sum()), k) for k in (kind, pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())]
+            blank = [pa.nulls(int(keep.sum()), k) for k in (kind, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*blank, pa.array(hashes[keep].view(np.int64)), pa.array(times[keep])], names)
 
         kind = pa.int64()
@@ -74,11 +87,8 @@ def describe(docs: DataFrame) -> DataFrame:
             flat, at = shingle_sets(pc.fill_null(part.column(1), ""))
             n = np.diff(at)
             sigs = [_set_name(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            owner = np.repeat(np.arange(len(n)), n)
-            vectors = np.bincount(owner * GROUPS + (flat % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).clip(max=65535).astype("<u2").reshape(-1, GROUPS)
             blank = [pa.nulls(len(n), pa.int64())] * 2
-            fine = [_fine_counts(flat[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(fine, pa.binary()), *blank], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array([v.tobytes() for v in count_vectors(flat, n)], pa.binary()), *blank], names)
             for i, sig in enumerate(sigs):
                 if sig not in seen:
                     seen.add(sig)
@@ -91,13 +101,14 @@ def describe(docs: DataFrame) -> DataFrame:
             yield frequent()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig binary, sid long, vector binary, fine binary, hash long, times long")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig binary, sid long, vector binary, hash long, times long")
 
 
-def _fine_counts(hashes: np.ndarray) -> np.ndarray:
-    """Counts of a quarter as many groups as shingles, rounded up to a power of two; halves fold into fewer groups."""
-    groups = max(GROUPS, 1 << min(16, max(0, len(hashes) // 4 - 1).bit_length()))
-    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(max=65535).astype("<u2")
+def count_vectors(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of its shingles each set (n of them, one after another) has in each group."""
+    owner = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(owner * GROUPS + (flat % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS)
+    return counts.clip(max=65535).astype("<u2").reshape(-1, GROUPS)
 
 
 def _sid(sig: bytes) -> int:
@@ -105,7 +116,7 @@ def _sid(sig: bytes) -> int:
 
 
 def prefix_rows(docs: DataFrame, heavy: np.ndarray, slices: int) -> DataFrame:
-    """Packed (hash, sid) pairs of all prefixes, by slice of the hashes; those of frequent shingles apart."""
+    """Packed entries of all longer prefixes, by slice of the shingles; those of frequent shingles by slice of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = np.zeros(1 << 20, bool)
@@ -117,20 +128,22 @@ def prefix_rows(docs: DataFrame, heavy: np.ndarray, slices: int) -> DataFrame:
                 if not rows:
                     continue
                 pairs = np.concatenate(rows)
-                to = (mix(pairs[:, int(often)].copy()) % np.uint64(slices)).astype(np.int64)
+                to = (mix(pairs[:, 1].copy() if often else pairs[:, 0] >> np.uint64(1)) % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 pairs, to = pairs[order], to[order]
+                entries = np.empty(len(pairs), ENTRY)
+                entries["key"] = np.ascontiguousarray(pairs[:, 0]).view(np.uint8).reshape(-1, 8)[:, :6]
+                entries["sid"] = pairs[:, 1]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 ends = np.append(cuts[1:], len(to))
-                data = [pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), pa.array([often] * len(data)), pa.array(data, pa.binary())], ["slice", "often", "pairs"])
+                data = [entries[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), pa.array([often] * len(data)), pa.array(data, pa.binary())], ["slice", "often", "entries"])
 
         for part in _parts(batches):
             flat, at = shingle_sets(pc.fill_null(part.column(1), ""))
             may = table_of[(flat >> np.uint64(44)).astype(np.int64)]
             often = np.zeros(len(flat), bool)
             often[may] = np.isin(flat[may], heavy)
-            before = np.concatenate([[0], np.cumsum(often)])
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 n = b - a
                 if not n:
@@ -139,95 +152,106 @@ def prefix_rows(docs: DataFrame, heavy: np.ndarray, slices: int) -> DataFrame:
                 if sid in seen:
                     continue
                 seen.add(sid)
-                first = n - (3 * n + 3) // 4 + 1
-                of, mark = flat[a:b], often[a:b]
-                rare = of[~mark] if before[b] > before[a] else of
-                for chosen, what in ((rare[:first], False), (of[mark][: max(0, first - len(rare))] if before[b] > before[a] else of[:0], True)):
-                    if len(chosen):
-                        rows = np.empty((len(chosen), 2), np.uint64)
-                        rows[:, 0], rows[:, 1] = chosen, np.int64(sid).view(np.uint64)
-                        held[what].append(rows)
-                size += first
+                base = n - (3 * n + 3) // 4 + 1
+                longer = base - 1 + -(-n // SHARED)
+                order = np.argsort(often[a:b], kind="stable")[:longer]
+                rows = np.empty((len(order), 2), np.uint64)
+                rows[:, 0] = flat[a:b][order] & np.uint64(0xFFFFFFFFFFFE) | (np.arange(len(order)) < base).astype(np.uint64)
+                rows[:, 1] = np.int64(sid).view(np.uint64)
+                rare = int((~often[a:b][order]).sum())
+                for what, some in ((False, rows[:rare]), (True, rows[rare:])):
+                    if len(some):
+                        held[what].append(some)
+                size += len(rows)
             if size * 4 >= FLUSH:
                 yield from packed()
                 held, seen, size = {False: [], True: []}, set(), 0
         yield from packed()
 
-    return docs.mapInArrow(run, "slice int, often boolean, pairs binary")
+    return docs.mapInArrow(run, "slice int, often boolean, entries binary")
 
 
 def buckets(packed: DataFrame, slices: int) -> DataFrame:
-    """(hash, sid, hot) of all buckets with two classes or more."""
+    """(hash, sid, base) of all entries whose shingle two classes or more have in their longer prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {False: [], True: []}
         for batch in batches:
-            for often, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held[often].append(np.frombuffer(pairs, np.uint64).reshape(-1, 2))
+            for often, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held[often].append(np.frombuffer(data, ENTRY))
         for often, rows in held.items():
             if not rows:
                 continue
-            pairs = np.concatenate(rows)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
-            start = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
-            size = np.repeat(np.diff(np.append(start, len(pairs))), np.diff(np.append(start, len(pairs))))
-            keep = (size >= 2) | often
-            out, hot = pairs[keep].view(np.int64), (size[keep] > SMALL_BUCKET) | often
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(hot)], ["hash", "sid", "hot"])
-
-    return packed.repartition(slices, "slice").mapInArrow(run, "hash long, sid long, hot boolean")
+            entries = np.concatenate(rows)
+            rows.clear()
+            key = np.zeros((len(entries), 8), np.uint8)
+            key[:, :6] = entries["key"]
+            pairs = np.stack([key.view(np.uint64).ravel(), entries["sid"]], axis=1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0] >> np.uint64(1)))]
+            hashes, sids = pairs[:, 0] >> np.uint64(1), pairs[:, 1]
+            fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (sids[1:] != sids[:-1])])
+            base = np.logical_or.reduceat((pairs[:, 0] & np.uint64(1)).astype(bool), np.flatnonzero(fresh))
+            hashes, sids = hashes[fresh], sids[fresh]
+            start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            size = np.diff(np.append(start, len(hashes)))
+            keep = (np.repeat(size, size) >= 2) | often
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(sids[keep].view(np.int64)), pa.array(base[keep])], ["hash", "sid", "base"])
+
+    return packed.repartition(slices, "slice").mapInArrow(run, "hash long, sid long, base boolean")
 
 
 class CountTree:
-    """An R-tree over count vectors, packed bottom-up from points in the order of set size and fullest group."""
-
-    def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        self.order = np.lexsort((points.argmax(axis=1), sizes))
-        level_n, level_hi = sizes[self.order].astype(np.int64), points[self.order]
-        self.levels, width = [(level_n, level_n, level_hi, None)], LEAF
-        while len(level_n) > 1:
-            cuts = np.arange(0, len(level_n), width)
-            least, most = np.minimum.reduceat(self.levels[-1][0], cuts), np.maximum.reduceat(self.levels[-1][1], cuts)
-            level_hi = np.maximum.reduceat(level_hi, cuts, axis=0)
-            self.levels.append((least, most, level_hi, width))
-            level_n, width = least, FANOUT
-
-    def _bounded(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        least, most, high, _ = self.levels[level]
-        keep = (4 * most[a] >= 3 * least[b]) & (4 * most[b] >= 3 * least[a])
+    """An R-tree over count vectors, packed bottom-up from points in the order of label, set size and fullest group."""
+
+    def __init__(self, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None = None):
+        labels = np.arange(len(sizes)) if labels is None else labels
+        self.order = np.lexsort((points.argmax(axis=1), sizes, labels))
+        low, label = sizes[self.order].astype(np.int64), labels[self.order]
+        box = points[self.order].astype(np.int32)
+        self.levels, width = [(low, low, box, label, label, None)], LEAF
+        while len(low) > 1:
+            cuts = np.arange(0, len(low), width)
+            low, most, box = np.minimum.reduceat(low, cuts), np.maximum.reduceat(self.levels[-1][1], cuts), np.maximum.reduceat(box, cuts, axis=0)
+            self.levels.append((low, most, box, np.minimum.reduceat(self.levels[-1][3], cuts), np.maximum.reduceat(self.levels[-1][4], cuts), width))
+            width = FANOUT
+
+    def self_join(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs of points of different labels whose bound allows a link."""
+        return self.join(self)
+
+    def join(self, to: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for a point of this tree and one of the other."""
+        yield from self._descend(to, len(self.levels) - 1, len(to.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def _bounded(self, to: CountTree, i: int, j: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of boxes ``a`` of level i and ``b`` of the other tree's level j may hold a link."""
+        low, most, box, first, last, _ = self.levels[i]
+        low2, most2, box2, first2, last2, _ = to.levels[j]
+        one = (first[a] == last[a]) & (first2[b] == last2[b]) & (first[a] == first2[b])
+        keep = (4 * most[a] >= 3 * low2[b]) & (4 * most2[b] >= 3 * low[a]) & ~one
         a, b, at = a[keep], b[keep], np.flatnonzero(keep)
-        fits = [_allowed(np.minimum(high[x], high[y]).sum(axis=1), least[x], least[y]) for x, y in zip(np.array_split(a, len(a) // 20_000 + 1), np.array_split(b, len(b) // 20_000 + 1), strict=True)]
+        fits = [_allowed(np.minimum(box[x], box2[y]).sum(axis=1), low[x], low2[y]) for x, y in zip(np.array_split(a, len(a) // 20_000 + 1), np.array_split(b, len(b) // 20_000 + 1), strict=True)]
         return at[np.concatenate(fits)]
 
-    def self_join(self, component: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs of points whose bound allows a link, of different components if these are given."""
-        top = len(self.levels) - 1
-        yield from self._descend(top, np.zeros(1, np.int64), np.zeros(1, np.int64), component)
-
-    def _descend(self, level: int, a: np.ndarray, b: np.ndarray, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        keep = self._bounded(level, a, b)
+    def _descend(self, to: CountTree, i: int, j: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keep = self._bounded(to, i, j, a, b)
         a, b = a[keep], b[keep]
-        if level == 0:
-            x, y = self.order[a], self.order[b]
-            if component is not None:
-                apart = component[x] != component[y]
-                x, y = x[apart], y[apart]
-            yield x, y
+        if not len(a):
             return
-        width, below = self.levels[level][3], len(self.levels[level - 1][0])
-        step = max(1, 400_000 // (width * width))
-        for i in range(0, len(a), step):
-            x, y = a[i : i + step], b[i : i + step]
-            grid = np.arange(width)
-            left = (x[:, None, None] * width + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-            right = (y[:, None, None] * width + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
-            ok = (left < below) & (right < below) & ((left < right) if level == 1 else (left <= right))
-            yield from self._descend(level - 1, left[ok], right[ok], component)
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64).reshape(-1, GROUPS)
+        if i == j == 0:
+            yield self.order[a], to.order[b]
+            return
+        wide, width = self.levels[i][5] or 1, to.levels[j][5] or 1
+        below, beneath = len(self.levels[max(0, i - 1)][0]), len(to.levels[max(0, j - 1)][0])
+        step = max(1, 400_000 // (wide * width))
+        across, down = np.meshgrid(np.arange(wide), np.arange(width), indexing="ij")
+        for at in range(0, len(a), step):
+            left = (a[at : at + step, None] * wide + across.ravel()).ravel()
+            right = (b[at : at + step, None] * width + down.ravel()).ravel()
+            ok = (left < below) & (right < beneath)
+            if self is to:
+                ok &= (left < right) if i == 1 else (left <= right)
+            yield from self._descend(to, max(0, i - 1), max(0, j - 1), left[ok], right[ok])
 
 
 def _allowed(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -235,162 +259,204 @@ def _allowed(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (7 * overlap >= 3 * (n + m)) | (np.minimum(n, m) > LARGEST_BOUNDED)
 
 
-def small_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that the bound leaves in buckets of SMALL_BUCKET classes at most: each is one leaf."""
+class Group:
+    """Classes that one task joins: their sizes and points, their sets if they are to be verified, and their labels."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, data: list[bytes], exact: bool, label: np.ndarray | None = None):
+        self.node, self.n = node, n
+        if exact:
+            flat = np.frombuffer(b"".join(data), np.uint64)
+            self.points = count_vectors(flat, n)
+            self.at = np.concatenate([[0], np.cumsum(n)])
+            # shingles as small numbers, so that a set is a row of marks
+            names, self.flat = np.unique(flat, return_inverse=True)
+            self.mark = np.zeros(len(names), bool)
+        else:
+            self.points, self.flat = np.frombuffer(b"".join(data), "<u2").reshape(-1, GROUPS), None
+        # labels are positions; classes that came united have one already
+        self.label = np.arange(len(node)) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+
+    def unite(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The labels after joining all the pairs."""
+        while True:
+            lx, ly = self.label[x], self.label[y]
+            apart = lx != ly
+            if not apart.any():
+                return
+            x, y, lx, ly = x[apart], y[apart], lx[apart], ly[apart]
+            above = np.arange(len(self.node))
+            np.minimum.at(above, np.maximum(lx, ly), np.minimum(lx, ly))
+            while (above[above] != above).any():
+                above = above[above]
+            self.label = above[self.label]
+
+    def test(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Unites those of the pairs that link; without sets, all."""
+        if self.flat is None or not len(x):
+            return self.unite(x, y)
+        # the class with more partners is marked, and meets them all at once
+        often = np.bincount(np.concatenate([x, y]), minlength=len(self.node))
+        x, y = np.where(often[x] >= often[y], x, y), np.where(often[x] >= often[y], y, x)
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        cuts = np.flatnonzero(np.diff(x, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True):
+            one, rest = int(x[a]), y[a:b]
+            rest = rest[self.label[rest] != self.label[one]]
+            for first in range(0, len(rest), 4096):
+                some = rest[first : first + 4096]
+                own = self.flat[self.at[one] : self.at[one + 1]]
+                self.mark[own] = True
+                met = np.concatenate([self.flat[self.at[i] : self.at[i + 1]] for i in some.tolist()])
+                overlap = np.add.reduceat(self.mark[met].astype(np.int64), np.concatenate([[0], np.cumsum(self.n[some])[:-1]]))
+                self.mark[own] = False
+                linked = some[7 * overlap >= 3 * (self.n[one] + self.n[some])]
+                self.unite(np.full(len(linked), one), linked)
+
+    def star(self, centres: np.ndarray) -> None:
+        """Each class with each of some, where the bound allows a link."""
+        for c in centres.tolist():
+            rest = np.flatnonzero(self.label != self.label[c])
+            rest = rest[(4 * self.n[rest] >= 3 * self.n[c]) & (4 * self.n[c] >= 3 * self.n[rest])]
+            rest = rest[_allowed(np.minimum(self.points[rest], self.points[c]).sum(axis=1, dtype=np.int64), self.n[rest], self.n[c])]
+            self.test(np.full(len(rest), c), rest)
+
+    def join(self) -> None:
+        """All pairs of different labels whose bound allows a link; first those with some of the group, which unites most of a group of copies."""
+        if len(self.node) > LEAF:
+            self.star(np.linspace(0, len(self.node) - 1, 4).astype(int))
+        for x, y in CountTree(self.n, self.points, self.label).self_join():
+            apart = self.label[x] != self.label[y]
+            self.test(x[apart], y[apart])
+
+    def join_sides(self, side: np.ndarray) -> None:
+        """The same for pairs of one class with ``side`` and one without."""
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        if len(a) and len(b):
+            for x, y in CountTree(self.n[a], self.points[a], self.label[a]).join(CountTree(self.n[b], self.points[b], self.label[b])):
+                x, y = a[x], b[y]
+                apart = self.label[x] != self.label[y]
+                self.test(x[apart], y[apart])
+
+
+def _grouped(rows: DataFrame, key: list[str], join, exact: bool, tasks: int) -> DataFrame:
+    """Edges (a, b) by which ``join`` of a Group and its sides unites the rows (node, n, data, label, side) of equal ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            some = pa.Table.from_batches([batch])
-            some = pa.concat_tables([rest, some]).combine_chunks() if rest is not None else some
-            if not len(some):
-                continue
-            key, node, n = (some[c].to_numpy() for c in ("hash", "node", "n"))
-            vector, out = _vectors(some["vector"].combine_chunks()), []
-            fresh = 0 if rest is None else len(rest)
-            for step in range(1, SMALL_BUCKET):
-                b = np.arange(max(step, fresh), len(key))  # pairs among the carried rows are known already
-                a = b - step
-                same = (key[a] == key[b]) & (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
-                a, b = a[same], b[same]
-                if len(a):
-                    ok = _allowed(np.minimum(vector[a], vector[b]).sum(axis=1), n[a], n[b])
-                    out.append(np.stack([np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]], axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-            rest = some.slice(max(0, len(some) - SMALL_BUCKET))
-
-    dealt = rows.select("hash", "node", "n", "vector").repartition("hash").sortWithinPartitions("hash")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-
-def tree_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct pairs (a < b) that the bound leaves, of (node, n, vector, component) with equal ``key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        def joined(group: pa.Table) -> None:
+            node, label = group["node"].to_numpy(), group["label"].to_numpy()
+            of = Group(node, group["n"].to_numpy(), group["data"].to_pylist(), exact, label)
+            before = of.label.copy()
+            join(of, group["side"].to_numpy())
+            new = np.flatnonzero((of.label != before) & (before == np.arange(len(node))))
+            found.append((label[of.label[new]], label[new]))
 
         def out() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        def join(group: pa.Table) -> None:
-            node = group["node"].to_numpy()
-            tree = CountTree(group["n"].to_numpy(), _vectors(group["vector"].combine_chunks()))
-            component, side = group["component"].to_numpy(), group["side"].to_numpy()
-            for x, y in tree.self_join(component):
-                ok = (node[x] != node[y]) & ((side[x] != side[y]) | (side[x] == 0))
-                x, y = node[x[ok]], node[y[ok]]
-                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            a, b = (np.concatenate(x) for x in zip(*found, (np.zeros(0, np.int64),) * 2, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         rest: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             some = pa.Table.from_batches([batch])
             some = pa.concat_tables([rest, some]) if rest is not None else some
-            cell = [some[k].to_numpy() for k in key]
             change = np.zeros(len(some), bool)
-            for c in cell:
-                change[1:] |= c[1:] != c[:-1]
+            for k in key:
+                values = some[k].to_numpy()
+                change[1:] |= values[1:] != values[:-1]
             cuts = [0, *np.flatnonzero(change).tolist()]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    join(some.slice(a, b - a))
+                    joined(some.slice(a, b - a))
             rest = some.slice(cuts[-1])
-            if len(found) > 500_000:
+            if sum(len(a) for a, _ in found) > 100_000:
                 yield out()
-                found.clear()
         if rest is not None and len(rest) > 1:
-            join(rest)
+            joined(rest)
         yield out()
 
-    dealt = rows.select(*key, "node", "n", "vector", "component", "side").repartition(*key).sortWithinPartitions(*key)
+    dealt = rows.select(*key, "node", "n", "data", "label", "side").repartition(tasks, *key).sortWithinPartitions(*key, "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _star_pairs(hot: DataFrame) -> DataFrame:
-    """Each class of a large bucket with one class of it, where the bound allows a link."""
-    centre = hot.groupBy("hash").agg(F.min_by(F.struct("node", "n", "vector"), F.xxhash64("node")).alias("c"))
-    both = hot.join(centre, "hash").filter(F.col("node") != F.col("c.node")).select("node", "n", "vector", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.vector").alias("vector2"))
+def _inside(group: Group, side: np.ndarray) -> None:
+    group.join()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, n, node2, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            ok = _allowed(np.minimum(_vectors(batch.column(2)), _vectors(batch.column(5))).sum(axis=1), n, n2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, node2)[ok]), pa.array(np.maximum(node, node2)[ok])], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+def _with_centres(group: Group, side: np.ndarray) -> None:
+    group.star(np.flatnonzero(side == 1))
 
 
-def bounded_by_fine(pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs that the bound still allows with finer groups; GROUPS tell little about large sets."""
+def _across(group: Group, side: np.ndarray) -> None:
+    group.join_sides(side == 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y, n, m = (batch.column(i).to_pylist() for i in range(6))
-            overlap = []
-            for left, right in zip(x, y, strict=True):
-                u, v = (np.frombuffer(z, "<u2").astype(np.int64) for z in (left, right))
-                groups = min(len(u), len(v))
-                overlap.append(int(np.minimum(u.reshape(-1, groups).sum(axis=0), v.reshape(-1, groups).sum(axis=0)).sum()))
-            ok = np.flatnonzero(_allowed(np.array(overlap, np.int64), np.array(n, np.int64), np.array(m, np.int64))) if overlap else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok.tolist()], pa.int64()), pa.array([b[i] for i in ok.tolist()], pa.int64())], ["a", "b"])
-
-    left = fine.select(F.col("node").alias("a"), F.col("fine").alias("x"), F.col("n").alias("nx"))
-    right = fine.select(F.col("node").alias("b"), F.col("fine").alias("y"), F.col("n").alias("ny"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
-    return both.mapInArrow(run, "a long, b long")
 
+def joined_groups(rows: DataFrame, exact: bool, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs within a group that the bound leaves and, if ``exact``, that link.
 
-def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes binary) of the documents that ``nodes`` names."""
+    ``rows`` is a written table of (group, node, n, data): data are the set's hashes if ``exact``, else its vector.
+    """
+    size = F.col("n") * 8 if exact else F.lit(2 * GROUPS)
+    tasks = partitions_for(rows.sparkSession, rows.agg(F.sum(size)).first()[0] or 0, BYTES_PER_TASK)
+    pieces = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(size) / block_bytes)).cast("int")
+    large = materialise(rows.groupBy("group").agg(pieces.alias("k")).filter("k > 1"), "large")
+    several = large.count()
+    plain = {"label": F.col("node"), "side": F.lit(0)}
+    if not several:
+        return materialise(_grouped(rows.withColumns(plain), ["group"], _inside, exact, tasks), "joined")
+    large = F.broadcast(large) if several <= MOST_SENT else large
+    small = rows.join(large, "group", "left_anti").withColumns(plain | {"block": F.lit(0)})
+    cut = rows.join(large, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumns(plain)
+    parts = [materialise(_grouped(small.unionByName(cut.drop("k")), ["group", "block"], _inside, exact, tasks), "joined")]
+
+    def labelled() -> DataFrame:
+        label = components(_union(parts)).withColumnRenamed("component", "to")
+        return cut.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
+
+    # a class of each of the largest components meets every block
+    now = materialise(labelled(), "labelled")
+    most = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node"))
+    chosen = most.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("m"), "label"))).filter(F.col("rank") <= CENTRES)
+    centres = now.join(chosen.select("group", "node"), ["group", "node"], "left_semi").withColumns({"side": F.lit(1), "block": F.explode(F.sequence(F.lit(0), F.col("k") - 1))})
+    parts.append(materialise(_grouped(now.unionByName(centres), ["group", "block"], _with_centres, exact, tasks), "joined"))
+    discard(now)
+    # what is not of the largest component meets every block, in blocks too
+    now = materialise(labelled(), "labelled")
+    most = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"), F.sum(size).alias("w"))
+    shares = most.groupBy("group").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), (F.sum("m") - F.max("m")).alias("rest"), (F.sum("w") - F.max_by("w", F.struct("m", -F.col("label")))).alias("bytes"))
+    shares = materialise(shares.filter("rest > 0").select("group", "main", F.greatest(F.ceil(F.col("rest") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int").alias("q")), "mixed")
+    mixed = now.join(F.broadcast(shares) if several <= MOST_SENT else shares, "group")
+    own = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    rest = mixed.filter("label <> main").withColumns({"side": F.lit(1), "part": F.pmod(F.xxhash64("node"), F.col("q")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("k") - 1))})
+    parts.append(materialise(_grouped(own.unionByName(rest), ["group", "block", "part"], _across, exact, tasks), "joined"))
+    discard(now)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def set_table(docs: DataFrame, cluster: DataFrame) -> DataFrame:
+    """(group, node, n, data) of the documents that ``cluster`` (node, group) names: the hashes of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in _parts(batches, 500):
             flat, at = shingle_sets(pc.fill_null(part.column(1), ""))
             data = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["node", "hashes"])
-
-    nodes = nodes.withColumnRenamed("node", "doc_id")
-    few = nodes.limit(MOST_SENT + 1).count() <= MOST_SENT
-    wanted = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "node long, hashes binary")
-
-
-def _sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return materialise(set_table(rows, nodes), "sets")
-
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(np.diff(at)), pa.array(data, pa.binary())], ["group", "node", "n", "data"])
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.  The sets of all partners of a meet the set of a in one place, one after another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = None, None
-        for batch in batches:
-            left, right = [], []
-            for a, b, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                other = np.frombuffer(hashes, np.uint64)
-                if b is None:
-                    own, of = other, a
-                elif of == a and len(other):
-                    at = np.searchsorted(own, other)
-                    at[at == len(own)] = 0
-                    if 7 * int((own[at] == other).sum()) >= 3 * (len(own) + len(other)):
-                        left.append(a)
-                        right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    partners = pairs.join(sets, pairs.b == sets.node).select("a", "b", "hashes")
-    owners = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    # a class with very many partners is spread over several tasks, its own set going to each
-    spread = 16
-    partners = partners.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(spread)))
-    parts = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("part")).distinct()
-    owners = owners.join(parts, "a").select("a", "b", "hashes", "part")
-    dealt = partners.unionByName(owners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.select("a", "b", "hashes").mapInArrow(run, "a long, b long").distinct()
+    cluster = cluster.select(F.col("node").alias("doc_id"), "group")
+    few = cluster.limit(MOST_SENT + 1).count() <= MOST_SENT
+    wanted = docs.join(F.broadcast(cluster) if few else cluster, "doc_id").select("doc_id", "text", "group")
+    return wanted.mapInArrow(run, "group long, node long, n long, data binary").filter("n > 0")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -402,9 +468,34 @@ def components(edges: DataFrame) -> DataFrame:
         better = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("component").alias("above"))
         new = materialise(better.join(up, "next", "left").select("node", "old", F.least("next", "above").alias("component")), "labels")
+        discard(labels)
         if not new.filter("component != old").limit(1).count():
+            discard(both)
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = new
+
+
+def candidates(rows: DataFrame, classes: DataFrame, told: DataFrame) -> DataFrame:
+    """A written table of (group, node): classes by base prefix shingle, of shingles with equal classes one."""
+    spark = rows.sparkSession
+    total, prefix = classes.agg(F.sum("n"), F.sum(F.expr(f"n - (3 * n + 3) div 4 + (n + {SHARED - 1}) div {SHARED}"))).first()
+    least = max(HEAVY_LEAST, -(-(total or 0) // HEAVY_ENTRIES))
+    often = told.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("hash")
+    heavy = np.sort(np.array([r.hash for r in often.collect()], np.int64).view(np.uint64))  # HEAVY_ENTRIES at most
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(prefix or 0) // ROWS_PER_SLICE))
+    bucket = materialise(buckets(prefix_rows(rows, heavy, slices), slices), "buckets")
+    shared = bucket.groupBy("sid").agg(F.count(F.lit(1)).alias("m")).join(classes.select("sid", "node", "n"), "sid")
+    taking_part = shared.filter(f"m >= {NEED}").select("sid", "node")
+    base = materialise(bucket.filter("base").select("hash", "sid").join(taking_part, "sid").select("hash", "node"), "base")
+    discard(bucket)
+    # buckets are named by their number of classes and two sums of hashes, so that no bucket is ever collected
+    sums = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    named = base.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), *sums).filter("m > 1")
+    kept = materialise(named.groupBy("m", "x", "y").agg(F.min("hash").alias("hash")).select("hash"), "kept")
+    few = kept.count() <= MOST_SENT
+    out = materialise(base.join(F.broadcast(kept) if few else kept, "hash", "left_semi").select(F.col("hash").alias("group"), "node"), "candidates")
+    discard(base)
+    return out
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -412,44 +503,27 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     Texts without words, and null texts, have no shingles and are linked with nothing; a text of one to four words is
     one shingle.  Equal texts are linked.  Rows without an id are not linked and have no component; rows that share an
-    id are judged each by its own text.  An empty table gives no rows; other columns are not read.
+    id are judged each by its own text, and stand for one document.  An empty table gives no rows; other columns are
+    not read.
 
-    Components only: neither the links of a document nor their number, as in buckets of more than four classes pairs
-    inside a component that is already joined are not looked for.
+    Components only: neither the links of a document nor their number, as pairs inside a component that is already
+    joined are not looked for.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     told = materialise(describe(rows), "shingles")
     sets = told.filter(F.col("sig").isNotNull())
     real = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    same = [F.first(c).alias(c) for c in ("sid", "n", "vector", "fine")]
+    same = [F.first(c).alias(c) for c in ("sid", "n", "vector")]
     classes = materialise(real.groupBy("sig").agg(F.min("doc_id").alias("node"), *same), "classes")
-    total, prefix = classes.agg(F.sum("n"), F.sum(F.expr("n - (3 * n + 3) div 4 + 1"))).first()
-    if not total:
-        return sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
-    least = max(HEAVY_LEAST, -(-total // HEAVY_ENTRIES))
-    often = told.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("hash")
-    heavy = np.sort(np.array([r.hash for r in often.collect()], np.int64).view(np.uint64))  # HEAVY_ENTRIES at most
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefix // ROWS_PER_SLICE))
-    bucket = materialise(buckets(prefix_rows(rows.filter(F.col("doc_id").isNotNull()), heavy, slices), slices), "buckets")
-    placed = bucket.join(classes.select("sid", "node", "n", "vector"), "sid").select("hash", "node", "n", "vector", "hot")
-    hot = placed.filter("hot")
-    fine = classes.select("node", "n", "fine")
-    told_pairs = materialise(small_pairs(placed.filter("not hot")).unionByName(_star_pairs(hot)).distinct(), "pairs")
-    pairs = materialise(bounded_by_fine(told_pairs, fine), "pairs")
-    edges = materialise(verify(pairs, _sets_of(pairs, rows)), "links")
-    label = components(edges)
-    if bucket.filter("hot").limit(1).count():
-        hot = hot.drop("hot").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = hot.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        hot = hot.join(mixed.select("hash", blocks.alias("k")), "hash").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        hot = hot.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
-        more = materialise(tree_pairs(hot, ["hash", "i", "j"]).join(told_pairs, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(bounded_by_fine(more, fine), "pairs")
-        edges = edges.unionByName(materialise(verify(more, _sets_of(more, rows)), "links"))
-        label = components(edges)
+    known = rows.filter(F.col("doc_id").isNotNull())
+    placed = candidates(known, classes, told)
+    pointed = materialise(placed.join(classes.select("node", "n", F.col("vector").alias("data")), "node").select("group", "node", "n", "data"), "points")
+    discard(placed)
+    cluster = components(joined_groups(pointed, exact=False)).withColumnRenamed("component", "group")
+    discard(pointed)
+    clustered = materialise(set_table(known, cluster), "sets")
+    label = components(joined_groups(clustered, exact=True))
+    discard(clustered)
     of = classes.join(label, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     joined = sets.join(of, "sig", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
