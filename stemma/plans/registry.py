@@ -5,25 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import collapse, padded, squeeze, stable_id, strip_tags
-from ..operators import align, constraints, ledger, units
+from ..functions import collapse, padded, slug, squeeze, stable_id, strip_tags
+from ..operators import align, catalog, constraints, ledger, units
 from ..sources import table
+from .base import ORACLE, QUERIES, WS as _WS, collapsed, lines_of, query
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-#: The same white space class as ``functions.SPACE``.
-_WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
 def _witnesses(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("witness_id"), F.col("lang").alias("language"), F.col("source").alias("origin"))
@@ -64,9 +51,16 @@ def source_union_missing(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias("missing")).exceptAll(table(spark, d, "documents").select("source").distinct())
 
 
-@query("SELECT conv_id, left(trim(regexp_replace(min_by(text, turn), '" + _WS + "', ' ', 'g')), 160) AS title FROM conversations GROUP BY conv_id")
+_TITLED = f"(SELECT conv_id AS work, turn AS ordinal, conv_id || ':' || (turn % 4) AS key, {collapsed("regexp_replace(text, '<[^>]+>', '', 'g')")} AS clean FROM conversations WHERE turn % 3 <> 2)"
+
+
+@query(f"""SELECT c.work, coalesce(t.preferred, left(t.other, 160), 'conversation ' || c.work) AS title FROM (SELECT DISTINCT conv_id AS work FROM conversations) c LEFT JOIN (
+ SELECT work, min_by(clean, ordinal) FILTER (WHERE regexp_matches(key, ':0(\\.0|\\.1)?$')) AS preferred, min_by(clean, ordinal) AS other FROM {_TITLED} WHERE clean <> '' GROUP BY work) t USING (work)""")
 def title_pick(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.left(collapse(F.min_by("text", "turn")), F.lit(160)).alias("title"))
+    turns = table(spark, d, "conversations")
+    leaves = turns.filter("turn % 3 <> 2").select(F.col("conv_id").alias("work"), F.col("turn").alias("ordinal"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") % 4).cast("string")).alias("key"), "text")
+    works = turns.select(F.col("conv_id").alias("work")).distinct()
+    return catalog.titles(leaves, works.withColumn("fallback", F.concat(F.lit("conversation "), F.col("work").cast("string"))))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' AND contains(lower(text), ' is ') THEN 'en-x' ELSE lang END AS language FROM documents")
@@ -89,14 +83,15 @@ def normalized_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(squeeze(F.col("text")), 256).alias("digest"), F.char_length("text").cast("long").alias("code_points"))
 
 
-@query("SELECT item_id, 'cand:' || left(sha256(item_id || chr(31) || text), 20) AS candidate_id, 'p' || lpad(item_id::VARCHAR, 4, '0') AS unit_id FROM benchmark")
+@query("SELECT item_id, 'cand:' || left(sha256(item_id || chr(31) || text), 20) AS candidate_id, 'p' || printf('%04d', item_id) AS unit_id FROM benchmark")
 def stable_candidate_id(spark, d):
     return table(spark, d, "benchmark").select("item_id", stable_id("cand", F.col("item_id").cast("string"), F.col("text")).alias("candidate_id"), padded("p", F.col("item_id")).alias("unit_id"))
 
 
-@query("SELECT p_partkey, regexp_extract(p_name, '^(\\S+)', 1) AS head, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug FROM part")
-def slug(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.regexp_extract("p_name", r"^(\S+)", 1).alias("head"), F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-").alias("slug"))
+@query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower('--' || p_name || ' ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item') AS slug, CASE WHEN p_partkey % 9 = 0 THEN 'item' END AS fallback FROM part")
+def slugs(spark, d):
+    name = F.concat(F.lit("--"), "p_name", F.lit(" "), "p_brand", F.lit("!"))
+    return table(spark, d, "part").select("p_partkey", slug(name).alias("slug"), F.when(F.col("p_partkey") % 9 == 0, slug(F.lit("?!"))).alias("fallback"))
 
 
 def _leaves(spark, d):
@@ -124,7 +119,7 @@ def unit_state_errors(spark, d):
     return units.unterminated(_leaves(spark, d))
 
 
-_BLOCKS = "(SELECT doc_id, pos AS ordinal, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents) WHERE trim(line) <> '')"
+_BLOCKS = lines_of("documents", "doc_id")
 
 
 @query(f"SELECT doc_id, ordinal::INTEGER AS ordinal, text FROM {_BLOCKS}")
@@ -132,11 +127,12 @@ def text_blocks(spark, d):
     return units.text_blocks(table(spark, d, "documents"))
 
 
-@query(f"SELECT d.doc_id, least(1.0, sum(length(b.text)) / length(any_value(d.text))) AS coverage FROM documents d JOIN {_BLOCKS} b USING (doc_id) GROUP BY d.doc_id")
+@query(f"SELECT d.doc_id, least(1.0, coalesce(b.held, 0) / greatest(length(coalesce(d.text, '')), 1)) AS coverage FROM documents d LEFT JOIN (SELECT doc_id, sum(length(text)) AS held FROM {_BLOCKS} GROUP BY doc_id) b USING (doc_id)")
 def block_coverage(spark, d):
     docs = table(spark, d, "documents")
     held = units.text_blocks(docs).groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("held"))
-    return docs.join(held, "doc_id").select("doc_id", F.least(F.lit(1.0), F.col("held") / F.char_length("text")).alias("coverage"))
+    size = F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1))
+    return docs.join(held, "doc_id", "left").select("doc_id", F.least(F.lit(1.0), F.coalesce("held", F.lit(0)) / size).alias("coverage"))
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker FROM events")
@@ -157,9 +153,7 @@ def range_resolution(spark, d):
 
 @query("SELECT number AS missing FROM (SELECT unnest(range((SELECT min(l_orderkey) FROM lineitem), (SELECT max(l_orderkey) FROM lineitem) + 1)) AS number) WHERE number NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_numbers(spark, d):
-    keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
-    low, high = keys.agg(F.min("id"), F.max("id")).first()
-    return spark.range(low or 0, (high + 1) if high is not None else 0).join(keys, "id", "left_anti").withColumnRenamed("id", "missing")
+    return constraints.missing_numbers(table(spark, d, "lineitem"), "l_orderkey")
 
 
 @query("SELECT coalesce(o.o_orderkey, l.l_orderkey) AS key, CASE WHEN l.l_orderkey IS NULL THEN 'left only' ELSE 'right only' END AS side FROM orders o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL OR l.l_orderkey IS NULL")
@@ -188,13 +182,6 @@ def window_topk(spark, d):
     return align.top_k(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), "doc_id"], 3).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT count(*) AS cases, count(*) FILTER (WHERE rank <= 3) / nullif(count(*), 0) AS overlap_at_k, sum(coalesce(1 / rank, 0)) / nullif(count(*), 0) AS mrr
-FROM (SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 1 + l.doc_id % 5 END AS rank FROM labels l WHERE l.quality = 1)""")
-def retrieval_metrics(spark, d):
-    gold = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.when(F.col("toxic") == 1, 1 + F.col("doc_id") % 5).alias("rank"))
-    return align.retrieval_metrics(gold, 3)
-
-
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def dup_keys(spark, d):
     return constraints.duplicates(table(spark, d, "events"), "user_id", "event_type")
@@ -237,10 +224,12 @@ def derived_status(spark, d):
     return ledger.derived_status(entries.join(alive, "pos", "left").withColumn("is_active", F.coalesce("is_active", F.lit(False))))
 
 
-@query("SELECT b.event_id AS pos, CASE WHEN c.event_id IS NULL THEN 'deleted' ELSE 'rewritten' END AS rule FROM events b LEFT JOIN (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE event_type END AS body FROM events WHERE event_id % 89 <> 0) c USING (event_id) WHERE b.event_type IS DISTINCT FROM c.body")
+@query("""WITH base AS (SELECT event_id AS pos, CASE WHEN event_id % 7 <> 0 THEN event_type END AS body FROM events),
+ cur AS (SELECT pos, CASE WHEN pos % 97 = 0 THEN 'x' ELSE body END AS body FROM base WHERE pos % 89 <> 0 AND pos % 91 <> 0)
+SELECT b.pos, CASE WHEN c.pos IS NULL THEN 'deleted' ELSE 'rewritten' END AS rule FROM base b LEFT JOIN cur c USING (pos) WHERE c.pos IS NULL OR b.body IS DISTINCT FROM c.body""")
 def append_only_check(spark, d):
-    base = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("body"))
-    current = base.filter("pos % 89 <> 0").withColumn("body", F.when(F.col("pos") % 97 == 0, "x").otherwise(F.col("body")))
+    base = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("body"))
+    current = base.filter("pos % 89 <> 0 AND pos % 91 <> 0").withColumn("body", F.when(F.col("pos") % 97 == 0, "x").otherwise(F.col("body")))
     return constraints.positional_difference(base, current)
 
 
@@ -248,3 +237,6 @@ def append_only_check(spark, d):
 def crosswalk_table_markdown(spark, d):
     names = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"))
     return table(spark, d, "region").join(names, "r_regionkey").select("r_regionkey", F.concat(F.lit("| "), "r_name", F.lit(" | "), "names", F.lit(" |")).alias("line"))
+
+
+from . import candidates, markup, reports, resolution, reviews, rules, texts, witnesses  # noqa: E402, F401  (their queries)
