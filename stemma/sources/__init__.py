@@ -43,7 +43,7 @@ def jsonl_with_places(spark: SparkSession, path: str, schema: str, key: str) ->
 
     Files are the unit: each is read whole by one task, so that line numbers need no order across tasks.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "json")).filter(F.trim("json") != "")
     rows = lines.select("file", (F.col("at") + 1).alias("line"), F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*", "file", "line")
     copies = F.count(F.lit(1)).over(Window.partitionBy(key))
@@ -107,7 +107,7 @@ def paired_leaves(roots: DataFrame, templates: DataFrame) -> DataFrame:
 
 def review_input(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reviews of files that each hold one, an array of them, or an object with such an array as ``reviews``."""
-    text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     inner = F.get_json_object("value", "$.reviews")
     array = F.when(F.startswith("value", F.lit("[")), F.col("value")).when(inner.isNotNull(), inner).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
     return text.select(F.explode(F.from_json(array, f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("r")).select("r.*")
