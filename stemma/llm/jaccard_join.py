@@ -10,7 +10,8 @@ link if 7 * |A & B| >= 3 * (|A| + |B|), that is at a Jaccard similarity of 0.75
   is ceil(3n / 4 / SHARED) at least, as m is 3n / 4 at least, so a class that shares fewer shingles of that prefix
   with the prefixes of others links with nothing, and takes no further part.
 * Count-vector R-tree.  A class's shingles are hashed into GROUPS groups; the counts are a point, and the overlap of two
-  classes is at most the sum of the smaller counts.  The points of a bucket are packed into an R-tree whose boxes keep
+  classes is at most the sum of the smaller counts (finer ones of as many groups as a quarter of the set, for pairs that
+  GROUPS leave).  The points of a bucket are packed into an R-tree whose boxes keep
   the largest count of each group and the least set size, so the same sum bounds the overlap of any points below two
   boxes.  The tree is joined with itself from the root, each bucket (of equal buckets, one) in one task.  Pairs that the
   bound leaves are not written: the task unites their classes and writes a spanning forest.  The forests of all buckets
@@ -88,7 +89,8 @@ def describe(docs: DataFrame) -> DataFrame:
             n = np.diff(at)
             sigs = [_set_name(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             blank = [pa.nulls(len(n), pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array([v.tobytes() for v in count_vectors(flat, n)], pa.binary()), *blank], names)
+            vectors = [fine_counts(flat[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sigs, pa.binary()), pa.array([_sid(x) for x in sigs], pa.int64()), pa.array(vectors, pa.binary()), *blank], names)
             for i, sig in enumerate(sigs):
                 if sig not in seen:
                     seen.add(sig)
@@ -111,6 +113,16 @@ def count_vectors(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return counts.clip(max=65535).astype("<u2").reshape(-1, GROUPS)
 
 
+def fine_counts(hashes: np.ndarray) -> np.ndarray:
+    """Counts of a quarter as many groups as shingles, rounded up to a power of two, GROUPS at least; halves fold into fewer groups."""
+    groups = max(GROUPS, 1 << min(16, max(0, len(hashes) // 4 - 1).bit_length()))
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(max=65535).astype("<u2")
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int64) if len(counts) > groups else counts.astype(np.int64)
+
+
 def _sid(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
@@ -272,7 +284,8 @@ class Group:
             names, self.flat = np.unique(flat, return_inverse=True)
             self.mark = np.zeros(len(names), bool)
         else:
-            self.points, self.flat = np.frombuffer(b"".join(data), "<u2").reshape(-1, GROUPS), None
+            self.fine, self.flat = [np.frombuffer(x, "<u2") for x in data], None
+            self.points = np.array([folded(x, GROUPS) for x in self.fine])
         # labels are positions; classes that came united have one already
         self.label = np.arange(len(node)) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
 
@@ -292,8 +305,18 @@ class Group:
 
     def test(self, x: np.ndarray, y: np.ndarray) -> None:
         """Unites those of the pairs that link; without sets, all."""
-        if self.flat is None or not len(x):
-            return self.unite(x, y)
+        if not len(x):
+            return
+        if self.flat is None:
+            plain = np.array([min(len(self.fine[i]), len(self.fine[j])) == GROUPS for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+            self.unite(x[plain], y[plain])
+            for i, j in zip(x[~plain].tolist(), y[~plain].tolist(), strict=True):  # GROUPS tell little about large sets
+                if self.label[i] != self.label[j]:
+                    groups = min(len(self.fine[i]), len(self.fine[j]))
+                    overlap = np.minimum(folded(self.fine[i], groups), folded(self.fine[j], groups)).sum()
+                    if _allowed(overlap, self.n[i], self.n[j]):
+                        self.unite(np.array([i]), np.array([j]))
+            return
         # the class with more partners is marked, and meets them all at once
         often = np.bincount(np.concatenate([x, y]), minlength=len(self.node))
         x, y = np.where(often[x] >= often[y], x, y), np.where(often[x] >= often[y], y, x)
@@ -400,7 +423,7 @@ def joined_groups(rows: DataFrame, exact: bool, block: int = BLOCK, block_bytes:
 
     ``rows`` is a written table of (group, node, n, data): data are the set's hashes if ``exact``, else its vector.
     """
-    size = F.col("n") * 8 if exact else F.lit(2 * GROUPS)
+    size = F.octet_length("data").cast("long")
     tasks = partitions_for(rows.sparkSession, rows.agg(F.sum(size)).first()[0] or 0, BYTES_PER_TASK)
     pieces = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(size) / block_bytes)).cast("int")
     large = materialise(rows.groupBy("group").agg(pieces.alias("k")).filter("k > 1"), "large")
