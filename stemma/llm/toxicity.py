@@ -5,9 +5,10 @@ A generative model of the votes, a two-class mixture fitted by EM without labels
 on toxic and on other texts; voters whose votes still correlate once the class is accounted for are told as one, each
 with a part of the weight.  Its posteriors are the labels of a logistic regression over hashed words and votes.
 
-The lexicon is mined from the labels of one half of a bounded sample (``MAX_ROWS`` labelled rows, never one whose
-crc32 of the id is 2 modulo 4), the class balance comes from the same half, and the rest needs no label.  The fitted
-model is a vector of 2 ** BITS weights and LEXICON words, whatever the corpus; scoring is one pass over it.
+The lexicon is mined from the labels of a bounded sample (``MAX_ROWS`` labelled rows, never one whose crc32 of the id
+is 2 modulo 4), the class balance comes from the same rows, and the rest needs no label.  A beginning of words may vote
+when two words or more of a text have it.  The fitted model is a vector of 2 ** BITS weights and the lexicon; scoring is
+one pass over all texts.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .shingles import words
 
-MAX_ROWS, LEXICON, BITS, THRESHOLD = 12_000, 96, 16, 0.3
+MAX_ROWS, BITS, THRESHOLD = 12_000, 16, 0.3
 #: Texts whose words are taken at once.
 PART = 1000
-#: A lexicon word's least number of toxic texts and least likelihood-ratio statistic.
-LEAST_SUPPORT, LEAST_EVIDENCE = 3, 25.0
+#: A lexicon word's least number of toxic texts, least likelihood-ratio statistic, and how many times oftener it must
+#: stand in toxic texts.  Chosen by threefold cross-validation within the learning rows of sf0.1 (README).
+LEAST_SUPPORT, LEAST_EVIDENCE, LEAST_RATIO = 3, 18.0, 20
 ROUNDS, RESIDUAL, EPOCHS = 40, 0.2, 120
 #: Letters of the beginnings that count as words too, so that a lexicon holds inflected and compound words.
 STEMS = (5, 7)
@@ -44,18 +46,34 @@ def held_out(column):
 
 
 def distinct_words(texts: pa.Array, plain: dict[str, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words without punctuation around them, and their beginnings (``rude*``); each text's distinct words as indices; and the texts these belong to.
+    """Words without punctuation around them, their beginnings (``rude*``) and beginnings that two words or more of the text have (``rude**``);
+    each text's distinct ones as indices; and the texts these belong to.
 
     Numbers go on from those in ``plain``, if it is given.
     """
     found, code, counts = words(texts)
     plain = {} if plain is None else plain
     bare = [_EDGE.sub("", w) for w in found.to_pylist()]
-    of = np.array([[plain.setdefault(w[:k] + "*" * (len(w) > k), len(plain)) for k in (len(w), *STEMS)] for w in bare], np.int64).reshape(-1, 1 + len(STEMS))
-    texts_of = np.repeat(np.arange(len(counts)), counts) * max(1, len(plain))
-    pairs = np.unique(np.concatenate([texts_of + of[code, k] for k in range(1 + len(STEMS))])) if len(code) else np.zeros(0, np.int64)
-    owner, word = pairs // max(1, len(plain)), pairs % max(1, len(plain))
-    return list(plain), word, owner
+    number = lambda name: plain.setdefault(name, len(plain))
+    of = np.array([[number(w[:k] + "*" * (len(w) > k)) for k in (len(w), *STEMS)] for w in bare], np.int64).reshape(-1, 1 + len(STEMS))
+    if not len(code):
+        return list(plain), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = max(1, len(plain))
+    text = np.repeat(np.arange(len(counts)), counts)
+    _, one = np.unique(text * size + of[code, 0], return_index=True)  # a word of a text once
+    text, code = text[one], code[one]
+    parts = [text * size + of[code, 0]]
+    names = list(plain)
+    for k in range(1, 1 + len(STEMS)):
+        held, times = np.unique(text * size + of[code, k], return_counts=True)
+        parts.append(held)
+        held = held[times > 1]
+        stems, at = np.unique(held % size, return_inverse=True)
+        again = np.array([number(names[x] + "*") if names[x].endswith("*") else x for x in stems.tolist()], np.int64)
+        parts.append(np.stack([held // size, again[at]]) if len(held) else np.zeros((2, 0), np.int64))
+    size, wide = max(1, len(plain)), size
+    pairs = np.unique(np.concatenate([x // wide * size + x % wide if x.ndim == 1 else x[0] * size + x[1] for x in parts]))
+    return list(plain), pairs % size, pairs // size
 
 
 def patterns(texts: list[str]) -> np.ndarray:
@@ -74,16 +92,16 @@ def patterns(texts: list[str]) -> np.ndarray:
 
 
 def mine_lexicon(names: list[str], bad: np.ndarray, good: np.ndarray, n: int, m: int) -> list[str]:
-    """Words that stand in toxic texts (``bad`` of n) over three times as often as in others (``good`` of m), by a
+    """Words that stand in toxic texts (``bad`` of n) LEAST_RATIO times as often as in others (``good`` of m), by a
     likelihood-ratio test, surest first."""
     scored = []
-    for at in np.flatnonzero((bad >= LEAST_SUPPORT) & (bad * m > 3 * good * n)).tolist():
+    for at in np.flatnonzero((bad >= LEAST_SUPPORT) & (bad * m > LEAST_RATIO * good * n)).tolist():
         k, g = int(bad[at]), int(good[at])
         share = (k + g) / (n + m)
         gain = sum(c * math.log(c / e) for c, e in ((k, n * share), (n - k, n - n * share), (g, m * share), (m - g, m - m * share)) if c and e)
         if names[at] and 2 * gain > LEAST_EVIDENCE:
             scored.append((gain, names[at]))
-    return [w for _, w in sorted(scored, reverse=True)][:LEXICON]
+    return [w for _, w in sorted(scored, reverse=True)]
 
 
 def first_of_kind(codes: np.ndarray, ends: np.ndarray, bands: int = 4, wide: int = 6) -> np.ndarray:
@@ -104,26 +122,28 @@ def first_of_kind(codes: np.ndarray, ends: np.ndarray, bands: int = 4, wide: int
 
 
 def label_model(votes: np.ndarray, balance: float) -> np.ndarray:
-    """Posterior probability of the toxic class for every row of a boolean vote matrix."""
+    """Posterior probability of the toxic class for every row of a boolean vote matrix.
+
+    A voter that abstains says nothing by itself, as most speak for one language only; that all abstain counts once.
+    """
     n, m = votes.shape
-    v = votes.astype(float)
+    v = np.concatenate([votes, ~votes.any(axis=1, keepdims=True)], axis=1).astype(float)
     start = v[:, : max(1, m - len(PATTERNS))].sum(axis=1)
     posterior = np.where(start > 0, 0.9, balance / 10)
     prior = min(max(balance, 1e-3), 0.5)
 
     def judge(fires: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        gain = weight * (np.log(fires[1]) - np.log(fires[0]))
-        miss = weight * (np.log1p(-fires[1]) - np.log1p(-fires[0]))
-        odds = math.log(prior / (1 - prior)) + v @ gain + (1 - v) @ miss
+        odds = math.log(prior / (1 - prior)) + v @ (weight * (np.log(fires[1]) - np.log(fires[0])))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     for _ in range(ROUNDS):
         fires = np.stack([((1 - posterior) @ v + 0.1) / ((1 - posterior).sum() + 0.2), (posterior @ v + 0.1) / (posterior.sum() + 0.2)])
-        posterior = judge(fires, np.ones(m))
+        posterior = judge(fires, np.ones(m + 1))
     rest = v - np.outer(posterior, fires[1]) - np.outer(1 - posterior, fires[0])  # what the classes don't explain
     rest /= np.maximum(rest.std(axis=0), 1e-9)
     alike = np.abs(rest.T @ rest / n)
     np.fill_diagonal(alike, 0)
+    alike[m] = alike[:, m] = 0
     return judge(fires, 1 / (1 + np.where(alike > RESIDUAL, alike, 0).sum(axis=1)))
 
 
@@ -163,7 +183,6 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
     constant = np.zeros(base + len(PATTERNS) + 1)
     constant[-1] = math.log(max(share, 1e-4) / max(1 - share, 1e-4))
-    half = np.arange(len(texts)) % 2 == 0
     plain: dict[str, int] = {}
     parts = []
     for first in range(0, len(texts), PART):
@@ -174,7 +193,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     word, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     names = list(plain)
     codes = np.array([zlib.crc32(w.encode()) for w in names], np.uint64)
-    own = half & first_of_kind(codes[word], np.searchsorted(owner, np.arange(len(texts)), "right"))
+    own = first_of_kind(codes[word], np.searchsorted(owner, np.arange(len(texts)), "right"))
     bad, good = (np.bincount(word[(own & y)[owner]], minlength=len(names)) for y in (toxic, ~toxic))
     lexicon = mine_lexicon(names, bad, good, int((own & toxic).sum()), int((own & ~toxic).sum()))
     if not lexicon:
@@ -185,7 +204,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     votes = np.zeros((len(texts), len(lexicon)), bool)
     votes[owner[voted], column[word[voted]]] = True
     del word, owner, names, plain, codes, parts
-    posterior = label_model(np.concatenate([votes, patterns(texts)], axis=1), float(toxic[half].mean()))
+    posterior = label_model(np.concatenate([votes, patterns(texts)], axis=1), share)
     model = Model(lexicon, np.zeros(base + len(PATTERNS) + len(lexicon) + 1))
     parts = []
     for first in range(0, len(texts), PART):
@@ -213,7 +232,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> tuple[li
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     few = known.filter(place < int((1 << 30) * min(1.0, most / max(n, 1))))
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"))
+    known_texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = known_texts.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text", place.alias("place"))
     got = sorted(rows.toLocalIterator(), key=lambda r: (r.place, r.doc_id, r.text))
     return [r.text for r in got], np.array([r.toxic > 0 for r in got], bool)
 
