@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,6 +42,30 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _html.unescape(t) if t is not None and "&" in t else t)
 
 
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.parts: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        self.parts.append(data)
+
+
+@F.pandas_udf(StringType())
+def html_text(texts: pd.Series) -> pd.Series:
+    """The text of HTML as a parser reads it, references resolved once more, white space collapsed."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        parser = _Text()
+        parser.feed(text)
+        parser.close()
+        return " ".join(_html.unescape("".join(parser.parts)).split())
+
+    return texts.map(one)
+
+
 def clean_markup(text) -> Column:
     """Tags go, references become characters, white space collapses."""
     return collapse(unescape(strip_tags(text)))
@@ -90,6 +115,12 @@ def blob_url(repository, revision, path) -> Column:
     return F.concat(F.regexp_replace(repository, r"\.git$", ""), F.lit("/blob/"), F.coalesce(revision, F.lit("")), F.lit("/"), path)
 
 
+def source_record(repository, revision, project, **paths) -> Column:
+    """Provenance of a row: project, revision, and for each named path the path and its pinned address."""
+    told = [c for name, path in paths.items() for c in (path.alias(f"{name}_path"), blob_url(repository, revision, path).alias(f"{name}_url"))]
+    return F.struct(project.alias("project"), revision.alias("revision"), *told)
+
+
 def classify_language(default, metadata, override=None, language: str = "san", phrase: str = "buddhist hybrid sanskrit", special: str = "bhs") -> Column:
     """An override wins; then the explicit phrase in metadata of the given language; else the default."""
     told = F.when((default == language) & F.contains(F.lower(metadata), F.lit(phrase)), special).otherwise(default)

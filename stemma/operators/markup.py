@@ -184,6 +184,13 @@ def segments(rows: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def compact(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(canonical_id, segment): what a crosswalk keeps of a discourse, with its place (canonical_id, file, line) in the catalog."""
+    place = F.struct("file", "line").alias("catalog")
+    told = F.struct("canonical_id", "container_id", "title", "head_text", "hierarchy", F.struct("path", "ordinal", "xpath", "start_ref", "end_ref", "xml_sha256").alias("locator"), place)
+    return found.drop("line").join(catalog.select("canonical_id", "file", "line"), "canonical_id").select("canonical_id", told.alias("segment"))
+
+
 def blocks(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Outermost blocks of each discourse in order, empty ones counted but left out; without any, the discourse itself."""
     inner = rows.filter(F.col("tag").isin(*BLOCKS)).select("path", F.col("seq").alias("at"), F.col("last").alias("block_last"), "tag", F.col("attrs").getItem(_ID).alias("xml_id"), "block_above", "line", F.col("end_line").alias("block_end"), collapse(F.col("reading")).alias("block_text"), F.col("fingerprint").alias("block_sha256"), F.explode("ancestors").alias("seq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import bracketed, editorial_features, editorial_flags, html_escape, leaf_kind, markdown_cell, offset_aware, script_safe, utc_stamp, work_slug
+from ..functions import bracketed, editorial_features, editorial_flags, html_escape, html_text, markdown_cell, offset_aware, script_safe, utc_stamp, work_slug
 from ..operators import constraints, units
 from ..sources import paired_leaves, table
 from .base import collapsed, query
@@ -127,3 +127,9 @@ def timestamp_check(spark, d):
 @query("SELECT p_partkey, 'brand' || regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS slug FROM part")
 def work_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", work_slug(F.replace("p_brand", F.lit("#"), F.lit(" ")), "Brand").alias("slug"))
+
+
+@query(f"SELECT doc_id, {collapsed("left(text, 2000)")} AS plain FROM documents")
+def html_texts(spark, d):
+    page = F.concat(F.lit('<!DOCTYPE html><div class="a > b"><p>'), html_escape(F.left("text", F.lit(2000))), F.lit("<br></div><!-- <p>not read</p> -->"))
+    return table(spark, d, "documents").select("doc_id", html_text(page).alias("plain"))

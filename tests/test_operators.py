@@ -303,3 +303,26 @@ def test_sources_and_sinks(spark, tmp_path):
     named = spark.createDataFrame([("x.xml", 1), ("gone.xml", 2)], "path string, n int")
     assert [(r.path, r.n) for r in sources.listed_files(spark, str(tmp_path), named).collect()] == [("x.xml", 1)]
     assert sources.json_document(spark, at("manifest"), "n int").first().n == 2 and list(sources.config(spark, a=(at("manifest"), "n int"))) == ["a"]
+
+
+def test_compact_segments_and_provenance(spark):
+    files = spark.createDataFrame([("d/T01.xml", XML)], "path string, content string")
+    config = spark.createDataFrame([("d/T01.xml", "EA", "T01", "chapter.item")], "path string, prefix string, container_id string, id_mode string")
+    found = markup.segments(markup.carried(markup.nodes(files)), config)
+    places = spark.createDataFrame([("EA 7.3", "ea.jsonl", 4)], "canonical_id string, file string, line int")
+    kept = markup.compact(found, places).collect()
+    assert len(kept) == 1 and kept[0].segment.catalog.line == 4 and kept[0].segment.locator.start_ref == "T01_pa1"
+    r = one(spark, T.source_record(F.lit("http://x/r.git"), F.lit("abc"), F.lit("p"), root=F.lit("a.json"), html=F.lit("b.json")).alias("s")).s
+    assert (r.root_url, r.html_path, r.revision) == ("http://x/r/blob/abc/a.json", "b.json", "abc")
+
+
+def test_ledger_stream(spark, tmp_path):
+    from stemma.streaming import decision_counts
+
+    at = f"{tmp_path}/in"
+    rows = [("2024-01-01 00:10:00", "accepted"), ("2024-01-01 00:20:00", "accepted"), ("2024-01-01 01:10:00", "rejected")]
+    spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(at)
+    stream = decision_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(at))
+    query = stream.writeStream.format("memory").queryName("decisions").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.event_type, r.n) for r in spark.table("decisions").collect()) == [("accepted", 2), ("rejected", 1)]
