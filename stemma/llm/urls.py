@@ -4,8 +4,16 @@ Host labels are often words written together.  A unigram model of the words of a
 the greatest joint probability (Viterbi).  The words of host and path are the tokens of a multinomial naive Bayes
 model, whose labelled rows are the urls that a rule decides; it judges the urls that none does.
 
-Words are counted over all pages; the unigram model keeps the ``VOCABULARY`` most frequent of up to ``LONGEST``
-letters.  The Bayes model is fitted on at most about ``MAX_ROWS`` labelled urls.  Both are therefore bounded.
+What a rule itself looks at (its host's labels, its path's words) is no token, else the model would only repeat the
+rules and judge a url by its top-level domain.  For the same reason only top-level domains that have urls of both
+verdicts teach: there blocked and allowed urls can be compared; elsewhere a site's name would only stand for its domain.
+Nor do the rules' shares of verdicts count, as they say nothing of
+other urls: a url is blocked if its tokens are likelier in blocked than in allowed ones, and allowed without evidence.
+
+Words are counted over all pages.  The unigram model holds the most frequent, about ``VOCABULARY`` of them and all of
+equal frequency or none (to a sixteenth of an octave): a bound of the model, as it goes to all tasks.  The cut is found
+from a histogram, so no more than those words reach the driver.  The Bayes model is fitted on at most about
+``MAX_ROWS`` distinct labelled urls, chosen by a hash, each with its number of pages.
 """
 
 from __future__ import annotations
@@ -19,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialise, table
 from .shingles import words
 
 #: Host, path prefix and verdict of the rules (fixed values of the contract).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-VOCABULARY, LONGEST, MAX_ROWS = 100_000, 24, 20_000
+VOCABULARY, MAX_ROWS = 100_000, 20_000
 _WORD, _TAG, _SPLIT = re.compile(r"[a-z]+"), re.compile(r"<[^>]*>"), re.compile(r"[^a-z0-9]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -40,6 +48,12 @@ def parse(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path[:end]
 
 
+def rule_words(rules=RULES) -> frozenset[str]:
+    """Host labels and path parts that a rule looks at."""
+    hosts = {f"host:{w}" for host, _, _ in rules for w in _SPLIT.split(host)}
+    return frozenset(hosts | {f"path:{w}" for _, path, _ in rules for w in _SPLIT.split(path.translate(_LOWER)) if w})
+
+
 class RuleIndex:
     """Rules by host, so that a url costs one look-up for each of its host's suffixes."""
 
@@ -85,25 +99,36 @@ class Segmenter:
             self.known[name] = parts[::-1]
         return self.known[name]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = [f"host:{w}" for label in _SPLIT.split(host) for w in self.split(label)]
-        return out + [f"path:{w}" for part in _SPLIT.split(path.translate(_LOWER)) for w in ([re.sub(r"\d", "0", part)] if any(map(str.isdigit, part)) else self.split(part))]
+    def tokens(self, host: str, path: str, unused: frozenset[str] = frozenset()) -> list[str]:
+        """Words of the host's labels and the path's parts, but of those in ``unused``; digits count as alike."""
+        hosts, parts = _SPLIT.split(host), _SPLIT.split(path.translate(_LOWER))
+        out = [f"host:{w}" for label in hosts if f"host:{label}" not in unused for w in self.split(label)]
+        return out + [f"path:{w}" for part in parts if f"path:{part}" not in unused for w in ([re.sub(r"\d", "0", part)] if any(map(str.isdigit, part)) else self.split(part))]
+
+
+def comparable(rows: list) -> list:
+    """The rows (host, verdict) of top-level domains that have both verdicts; all of them if none has."""
+    verdicts: dict[str, set[str]] = {}
+    for r in rows:
+        verdicts.setdefault(r.host.rpartition(".")[2], set()).add(r.verdict)
+    return [r for r in rows if len(verdicts[r.host.rpartition(".")[2]]) == 2] or rows
 
 
 class NaiveBayes:
-    def __init__(self, rows: list[tuple[list[str], str]]):
+    """From (tokens, verdict, number of pages)."""
+
+    def __init__(self, rows: list[tuple[list[str], str, int]]):
         counts = {"allow": Counter(), "block": Counter()}
-        classes = Counter(verdict for _, verdict in rows)
-        for tokens, verdict in rows:
-            counts[verdict].update(tokens)
+        for tokens, verdict, n in rows:
+            for t in tokens:
+                counts[verdict][t] += n
         size = len(set(counts["allow"]) | set(counts["block"])) + 1
         totals = {v: sum(c.values()) + size for v, c in counts.items()}
-        self.prior = math.log((classes["block"] + 1) / (classes["allow"] + 1))
         self.weight = {t: math.log((counts["block"][t] + 1) / totals["block"]) - math.log((counts["allow"][t] + 1) / totals["allow"]) for c in counts.values() for t in c}
 
     def odds(self, tokens: list[str]) -> float:
-        """Log odds of block against allow; tokens never met say nothing."""
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
+        """Log likelihood of the tokens in blocked against allowed urls; tokens never met say nothing."""
+        return sum(self.weight.get(t, 0.0) for t in tokens)
 
 
 def word_counts(pages: DataFrame, html_column: str = "html", most: int = VOCABULARY) -> dict[str, int]:
@@ -117,22 +142,32 @@ def word_counts(pages: DataFrame, html_column: str = "html", most: int = VOCABUL
                 found, code, _ = words(pa.array(texts, pa.string()))
                 for i, n in Counter(code.tolist()).items():
                     for w in _WORD.findall(found[i].as_py()):
-                        if len(w) <= LONGEST:
-                            held[w] += n
+                        held[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    counted = pages.select(F.col(html_column).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+    counted = pages.select(F.col(f"`{html_column}`").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    step = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    counted = materialise(counted.withColumn("step", step), "words")
+    least, held = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), key=lambda r: -r.step):  # sixteen steps an octave
+        held += r["count"]
+        if held > most and least is not None:
+            break
+        least = r.step
+    out = {r.word: r.n for r in counted.filter(F.col("step") >= least).select("word", "n").collect()} if least is not None else {}
+    discard(counted)
+    return out
 
 
 def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", most: int = MAX_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, odds) of every row.
 
-    A null url, and one without ``://``, has an empty host and path, which no rule fits; the model judges it by the
-    classes' shares alone.  Equal urls are judged alike, an empty table gives no rows, other columns are not read.
+    A null url, and one without ``://``, has an empty host and path, which no rule fits; without any token it is allowed.
+    A host or path of any length is judged whole.  Equal urls are judged alike, an empty table gives no rows, other columns are not read.
     """
+    unused = rule_words(rules)
     index, split = RuleIndex(rules), Segmenter(word_counts(pages, html_column))
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
+    rows = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").cast("string").alias("url"))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,16 +181,17 @@ def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column:
 
     kind = rows.schema["page_id"].dataType.simpleString()
     found = rows.mapInArrow(decided, f"page_id {kind}, host string, path string, rule string, verdict string")
-    labelled = found.filter(F.col("rule").isNotNull()).select("host", "path", "verdict")
-    n = labelled.count()
+    labelled = found.filter(F.col("rule").isNotNull()).groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30))
-    few = labelled.filter(place < int((1 << 30) * min(1.0, most / max(n, 1)))).orderBy(place, "host", "path").limit(2 * most)
-    model = NaiveBayes([(split.tokens(r.host, r.path), r.verdict) for r in few.collect()])
+    labelled = materialise(labelled.withColumn("place", place), "labelled")
+    few = labelled.filter(F.col("place") < int((1 << 30) * min(1.0, most / max(labelled.count(), 1))))
+    model = NaiveBayes([(split.tokens(r.host, r.path, unused), r.verdict, r.n) for r in comparable(few.collect())])
+    discard(labelled)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             host, path, verdict = (batch.column(i).to_pylist() for i in (1, 2, 4))
-            odds = [model.odds(split.tokens(h, p)) for h, p in zip(host, path, strict=True)]
+            odds = [model.odds(split.tokens(h, p, unused)) for h, p in zip(host, path, strict=True)]
             verdict = [v or ("block" if o > 0 else "allow") for v, o in zip(verdict, odds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], [*batch.schema.names, "odds"])
 
@@ -163,6 +199,7 @@ def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column:
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page; see ``judge``."""
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
