@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions_for, table
 
 SHARDS, SEED, ROWS_PER_BUCKET = 40, "stemma-shards-1", 4000
 #: Leading hexadecimal digits of the random key that a bucket is made from.
 KEY_DIGITS = 12
+#: Sources whose counts are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -41,10 +43,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_column: st
     buckets = max(1, -(-total // ROWS_PER_BUCKET))
     # rank within the source: buckets of the random key
     place = F.conv(F.substring("key", 1, KEY_DIGITS), 16, 10).cast("double") / float(16**KEY_DIGITS)
-    rows = rows.join(counts, "stratum").withColumn("part", F.floor(place * F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_BUCKET))))
+    # sources are few (their number is checked), so that rows are dealt by (stratum, part) only, never by a source alone
+    few = counts.limit(MOST_SENT + 1).count() <= MOST_SENT
+    rows = rows.join(F.broadcast(counts) if few else counts, "stratum").withColumn("part", F.floor(place * F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_BUCKET))))
     earlier = Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
     order = ["key", "doc_id", "text_crc32", "size"]
+    rows = rows.repartition(partitions_for(docs.sparkSession, total, ROWS_PER_BUCKET * 25), "stratum", "part")
     within = Window.partitionBy("stratum", "part").orderBy(*order)
     ranked = rows.withColumn("r", F.row_number().over(within)).join(sizes, ["stratum", "part"])
     fraction = (2 * (F.col("r") + F.col("before")) - 1) / (2 * F.col("n"))
@@ -63,9 +68,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_column: st
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of counts at most one apart, each of the mixture of all; see ``shard``."""
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 QUERIES = {"op3_sharding": op3_sharding}
+#: DuckDB has no CRC-32; the tests hold the result against plain Python.
 ORACLE: dict[str, str] = {}
