@@ -559,8 +559,24 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Component of every document; see ``link``."""
     return link(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
-ORACLE: dict[str, str] = {}
+#: All pairs that share a shingle; for small tables only.
+ORACLE = {
+    "op9_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(shingle) AS shingle FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e UNION SELECT doc_id, doc_id FROM documents),
+r AS (SELECT x AS doc_id, y FROM b UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.y = b.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(y) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)"""
+}
