@@ -30,6 +30,8 @@ from .common import table
 WINDOW, END_ID = 2048, 1
 SENTENCE_CUT, FORCED_CUT, LONGEST_STRETCH, FORCED_STEP = 8, 64, 192, 32
 SEGMENT = 1 << 20
+#: Ranges of ids that the documents are dealt to at most; past that they grow with the input.
+MOST_BLOCKS = 100_000
 
 
 class Coder:
@@ -121,7 +123,7 @@ def pack(
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    blocks = max(1, min(-(-total // block_bytes), MOST_BLOCKS))  # a block is read in segments, whatever its size
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +181,7 @@ def pack(
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every document; see ``pack``."""
     import public_tokenizers
 
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
