@@ -8,11 +8,13 @@ ORACLE: dict[str, str] = {}
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, or under ``name`` where that is the name of a column function too."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[name or f.__name__] = sql
         return f
 
     return add

@@ -88,7 +88,7 @@ def stable_candidate_id(spark, d):
     return table(spark, d, "benchmark").select("item_id", stable_id("cand", F.col("item_id").cast("string"), F.col("text")).alias("candidate_id"), padded("p", F.col("item_id")).alias("unit_id"))
 
 
-@query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower('--' || p_name || ' ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item') AS slug, CASE WHEN p_partkey % 9 = 0 THEN 'item' END AS fallback FROM part")
+@query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower('--' || p_name || ' ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item') AS slug, CASE WHEN p_partkey % 9 = 0 THEN 'item' END AS fallback FROM part", name="slug")
 def slugs(spark, d):
     name = F.concat(F.lit("--"), "p_name", F.lit(" "), "p_brand", F.lit("!"))
     return table(spark, d, "part").select("p_partkey", slug(name).alias("slug"), F.when(F.col("p_partkey") % 9 == 0, slug(F.lit("?!"))).alias("fallback"))

@@ -39,6 +39,12 @@ def collection_id_parse(spark, d):
     return _refs(spark, d).select("ref_id", constraints.parse_id(F.col("identifier"), PREFIXES).alias("p")).select("ref_id", "p.*")
 
 
+@query(f"SELECT ref_id, prefix || ' ' || n AS wanted FROM (SELECT ref_id, prefix, unnest(range(low, high + 1)) AS n FROM {_BOUNDED} WHERE high >= low)")
+def range_expansion(spark, d):
+    parsed = _refs(spark, d).select("ref_id", constraints.parse_id(F.col("identifier"), PREFIXES).alias("p")).filter("p.high >= p.low")
+    return parsed.select("ref_id", F.explode(F.sequence("p.low", "p.high")).alias("n"), "p.prefix").select("ref_id", F.concat("prefix", F.lit(" "), F.col("n").cast("string")).alias("wanted"))
+
+
 _RESOLVED = f"""(SELECT ref_id, identifier, count(*) AS wanted, count(s.canonical_id) AS found, string_agg(s.canonical_id, ',' ORDER BY pos) AS segments, string_agg(wanted_id, ',' ORDER BY pos) FILTER (WHERE s.canonical_id IS NULL) AS missing,
  CASE WHEN count(s.canonical_id) = 0 THEN 'unresolved' WHEN count(s.canonical_id) = count(*) THEN 'resolved' ELSE 'partially_resolved' END AS status
 FROM (SELECT ref_id, identifier, CASE WHEN low IS NULL OR high < low THEN identifier ELSE prefix || ' ' || n END AS wanted_id, n AS pos FROM (SELECT *, unnest(CASE WHEN low IS NULL OR high < low THEN [0::BIGINT] ELSE range(low, high + 1) END) AS n FROM {_BOUNDED} WHERE prefix <> ''))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import bracketed, editorial_features, editorial_flags, html_escape, html_text, markdown_cell, offset_aware, script_safe, utc_stamp, work_slug
+from ..functions import bracketed, collapse, editorial_features, editorial_flags, html_escape, html_text, markdown_cell, offset_aware, padded, script_safe, utc_stamp, work_slug
 from ..operators import constraints, units
 from ..sources import paired_leaves, table
 from .base import collapsed, query
@@ -32,7 +32,7 @@ def _leaves(spark, d):
     return units.classified(pairs)
 
 
-@query(f"SELECT work, ordinal, segment_id, leaf_kind, kind FROM {_LEAVES}")
+@query(f"SELECT work, ordinal, segment_id, leaf_kind, kind FROM {_LEAVES}", name="leaf_kind")
 def leaf_kinds(spark, d):
     return _leaves(spark, d).select("work", "ordinal", "segment_id", "leaf_kind", "kind")
 
@@ -94,7 +94,7 @@ def _edition(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.replace(text, old, new).alias("edition"))
 
 
-@query(f"SELECT page_id, contains(e, '<supplied>') AS has_supplied, contains(e, '<gap') AS has_gap, contains(e, '<unclear') AS has_unclear, concat_ws(',', CASE WHEN contains(e, '<supplied>') THEN 'supplied' END, CASE WHEN contains(e, '<gap') THEN 'gap' END, CASE WHEN contains(e, '<unclear') THEN 'unclear' END) AS features FROM (SELECT page_id, {_EDITION} AS e FROM pages)")
+@query(f"SELECT page_id, contains(e, '<supplied>') AS has_supplied, contains(e, '<gap') AS has_gap, contains(e, '<unclear') AS has_unclear, concat_ws(',', CASE WHEN contains(e, '<supplied>') THEN 'supplied' END, CASE WHEN contains(e, '<gap') THEN 'gap' END, CASE WHEN contains(e, '<unclear') THEN 'unclear' END) AS features FROM (SELECT page_id, {_EDITION} AS e FROM pages)", name="editorial_flags")
 def editorial_marks(spark, d):
     marked = _edition(spark, d).withColumn("f", editorial_flags(F.col("edition")))
     return marked.select("page_id", "f.*", F.array_join(editorial_features(F.col("f")), ",").alias("features"))
@@ -124,12 +124,37 @@ def timestamp_check(spark, d):
     return table(spark, d, "orders").select("o_orderkey", stamp.alias("stamp"), offset_aware(text).alias("aware"))
 
 
-@query("SELECT p_partkey, 'brand' || regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS slug FROM part")
+@query("SELECT p_partkey, 'brand' || regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS slug FROM part", name="work_slug")
 def work_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", work_slug(F.replace("p_brand", F.lit("#"), F.lit(" ")), "Brand").alias("slug"))
 
 
-@query(f"SELECT doc_id, {collapsed("left(text, 2000)")} AS plain FROM documents")
+@query(f"SELECT doc_id, {collapsed("left(text, 2000)")} AS plain FROM documents", name="html_text")
 def html_texts(spark, d):
     page = F.concat(F.lit('<!DOCTYPE html><div class="a > b"><p>'), html_escape(F.left("text", F.lit(2000))), F.lit("<br></div><!-- <p>not read</p> -->"))
     return table(spark, d, "documents").select("doc_id", html_text(page).alias("plain"))
+
+
+@query(f"SELECT doc_id, {collapsed("text")} AS normal FROM documents")
+def normalize_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", collapse(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, left({collapsed("text")}, 160) AS title FROM documents")
+def title_prefix_160(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.left(collapse(F.col("text")), F.lit(160)).alias("title"))
+
+
+@query("SELECT doc_id, length(text || '𠀀') AS code_points FROM documents")
+def code_point_length(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.char_length(F.concat("text", F.lit("𠀀"))).cast("long").alias("code_points"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, left(sha256(text), 12) AS short FROM documents")
+def sha256_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.left(F.sha2("text", 256), F.lit(12)).alias("short"))
+
+
+@query("SELECT o_orderkey, 'p' || printf('%04d', o_orderkey) AS unit_id, 'b' || printf('%04d', o_orderkey * 100) AS block_id FROM orders")
+def padded_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", padded("p", F.col("o_orderkey")).alias("unit_id"), padded("b", F.col("o_orderkey") * 100).alias("block_id"))

@@ -25,7 +25,7 @@ def override_lookup(spark, d):
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
-@query(f"SELECT page_id, CASE WHEN {_TITLE} <> '' AND page_id % 3 <> 0 THEN {_TITLE} || ' (' || url || ')' WHEN page_id % 3 <> 0 THEN url ELSE nullif({_TITLE}, '') END AS license FROM pages")
+@query(f"SELECT page_id, CASE WHEN {_TITLE} <> '' AND page_id % 3 <> 0 THEN {_TITLE} || ' (' || url || ')' WHEN page_id % 3 <> 0 THEN url ELSE nullif({_TITLE}, '') END AS license FROM pages", name="license_text")
 def license_texts(spark, d):
     label, target = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(F.col("page_id") % 3 != 0, F.col("url"))
     return table(spark, d, "pages").select("page_id", license_text(label, target).alias("license"))
@@ -98,7 +98,7 @@ def availability_audit(spark, d):
     return catalog.availability(wanted, config, segments, wanted)
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END::BIGINT AS number, CASE WHEN p_partkey % 5 = 0 THEN p_name WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS title FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END::BIGINT AS number, CASE WHEN p_partkey % 5 = 0 THEN p_name WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS title FROM part""", name="leading_int")
 def leading_ints(spark, d):
     n = F.col("p_partkey")
     label = F.when(n % 5 == 0, F.col("p_name")).when(n % 7 == 0, F.concat(F.lit("  "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "), "p_name"))

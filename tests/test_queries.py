@@ -36,3 +36,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_registers_are_built_without_a_session():
+    """The driver may ask for the queries before it has a session, so no module may touch one as it is imported."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q)"
+    where = __file__.rsplit("/", 2)[0]
+    subprocess.run([sys.executable, "-c", code], cwd=where, check=True, timeout=120)
