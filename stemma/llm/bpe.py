@@ -299,6 +299,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document, as digests; a null text has no ids."""
     import public_tokenizers
 
     from .common import table

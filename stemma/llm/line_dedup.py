@@ -142,6 +142,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CODE_POINTS, batches: int = BA
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Lines kept and dropped of every document; see ``dedup_lines``."""
     done = dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

@@ -252,6 +252,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; see ``judge``."""
     judged = filter_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept")
 

@@ -253,6 +253,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A score of every document; a null or empty text is scored as one without words, a row without an id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(*sample(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
     out = score(docs, model)
