@@ -20,28 +20,38 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the certified thresholds reject go."""
+    """Documents that the base rules or the certified thresholds reject go.
+
+    So do null and empty texts, which have no words; rows without an id and repeated rows are judged like any other, a
+    missing language is a stratum of its own, an empty table gives no rows.
+    """
     return _documents(quality.filter_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).filter("kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first only; no document goes."""
+    """Lines that several documents share stay in the first only; no document goes.
+
+    Rows with one id are one document, those without an id one document after all others; a null text comes back empty.
+    """
     return _documents(line_dedup.dedup_lines(docs.select(*COLUMNS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
+    """Of each group of linked documents the one with the least id stays.
+
+    Rows without an id stay, as do documents without words; rows that share an id are one document and stay or go together.
+    """
     return jaccard_join.keep_one(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets; no document goes."""
+    """Spans of personal data become their kind in brackets, overlapping ones the first's; no document goes.  A null text comes back empty."""
     found = pii.find(docs.select(*COLUMNS))
     return _documents(found.withColumn("text", pii.redacted(F.col("text"), F.col("found"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed documents, as op10 returns them."""
+    """Pieces of the packed documents, as op10 returns them; a null text is its end mark alone, repeated rows are packed each."""
     import public_tokenizers
 
     pieces = packing.pack(docs.select("doc_id", "text"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
