@@ -8,6 +8,7 @@ DATA = "/root/testdata/sf0.001"
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
     "candidate_union",
+    "nearest_position",
 )
 
 
