@@ -1,10 +1,18 @@
-"""What keeps queries in proportion to their input: how often a plan reads, and that the quicker forms find the same."""
+"""What keeps queries in proportion to their input: how often a plan reads and parses, and that the quicker forms find the same."""
+
+import random
+import xml.etree.ElementTree as ET
 
 import pytest
 
+from stemma.operators import markup
 from stemma.plans import candidates, registry
 
 DATA = "/root/testdata/sf0.001"
+#: Walks over XML in the plan that a query returns.
+WALKS = {
+    "xml_fingerprint": 1,
+}
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
     "candidate_union",
@@ -16,6 +24,12 @@ def plan(spark, name):
     return registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", WALKS)
+def test_documents_are_parsed_once(spark, name):
+    told = plan(spark, name)
+    assert told.count("MapInArrow") == WALKS[name] and "Window" not in told
+
+
 @pytest.mark.parametrize("name", PAIRED)
 def test_pairs_are_found_once(spark, name):
     assert "documents.parquet" not in plan(spark, name)
@@ -35,3 +49,65 @@ def test_passages_equal_brute_force(spark, monkeypatch, most):
     got = sorted((r.doc_id, r.item_id) for r in candidates._holding(docs.unionByName(docs.filter("doc_id = 2")), items).collect())
     expected = [(d, i) for d, t in [*enumerate(texts), (2, texts[2])] for i, p in enumerate(passages) if t is not None and p in t]
     assert got == sorted(expected)
+
+
+def tree(dice, depth=0):
+    """Random markup: chapters, discourses inside discourses, blocks inside blocks, marks of lines and scrolls."""
+    kind = dice.choice(["div", "div", "div", "p", "lg", "note", "lb", "juan", "x"]) if depth < 6 else "lb"
+    if kind == "lb":
+        return f'<lb ed="{dice.choice("TTR")}" n="{dice.choice(["", "a", "b", "c"])}{dice.randint(0, 99)}"/>'
+    if kind == "juan":
+        return dice.choice([f'<juan fun="open" n="{dice.randint(1, 9)}"/>', '<juan fun="close" n="9"/>', '<juan fun="open"/>'])
+    mulu = ""
+    if kind == "div" and dice.random() < 0.8:
+        mulu = f'<mulu type="{dice.choice(["經", "經", "品", "z"])}">{dice.choice(["", "1 ", "22 "])}t</mulu>'
+    return f"<{kind}>{mulu}{dice.choice(['', ' ', 'w'])}{''.join(tree(dice, depth + 1) for _ in range(dice.randint(0, 4)))}</{kind}>{dice.choice(['', 'v'])}"
+
+
+def expected(root):
+    """Discourses by a plain recursion: (ordinal, first and last line and scroll, loose), and their outermost blocks."""
+    found, at, ends = [], {"line": None, "scroll": None}, []
+
+    def walk(node, chapters, around, blocked):
+        name, mulu = node.tag, node.find("mulu") if node.tag == "div" else None
+        if name == "lb" and node.get("ed") == "T" and node.get("n"):
+            at["line"] = node.get("n")
+        if name == "juan" and node.get("fun") == "open":
+            at["scroll"] = node.get("n")
+        own, block = None, None
+        if mulu is not None and mulu.get("type") == "經":
+            own = {"start": dict(at), "inner": [], "loose": not chapters or chapters[-1] is None, "text": markup.reading(node), "digest": markup.fingerprint(node)}
+            found.append(own)
+            around, blocked = [*around, own], {**blocked, id(own): False}
+        elif mulu is not None and mulu.get("type") == "品":
+            chapters = [*chapters, markup._number(mulu)]
+        if name in markup.BLOCKS:
+            block = [name, markup.reading(node), at["line"], None]
+            for x in around:
+                if not blocked[id(x)]:
+                    x["inner"].append(block)
+            blocked = dict.fromkeys(blocked, True)
+        for c in node:
+            walk(c, chapters, around, blocked)
+        if block:
+            block[3] = at["line"]
+        if own:
+            own["end"] = dict(at)
+            ends.append(own)
+            own["count"] = sum(x["loose"] for x in ends)
+
+    walk(root, [], [], {})
+    return [(i, x["start"]["line"], x["start"]["scroll"], x["end"]["line"], x["end"]["scroll"], x["count"], x["text"], x["digest"], [tuple(b) for b in x["inner"]]) for i, x in enumerate(found, 1)]
+
+
+def test_walk_equals_a_plain_recursion(spark):
+    dice = random.Random(7)
+    texts = {f"d/{i}.xml": f"<TEI>{''.join(tree(dice) for _ in range(12))}</TEI>" for i in range(40)}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    kept = ["path", "ordinal", "line", "scroll", "end_line", "end_scroll", "loose", "reading", "fingerprint"]
+    want = {(p, x[0]): x[1:] for p, t in texts.items() for x in expected(ET.fromstring(t))}
+    assert sum(len(x[-1]) > 1 for x in want.values()) > 20
+    for detail in ("all", "blocks", "discourses"):
+        rows = [r for r in markup.nodes(files, detail=detail).filter("ordinal IS NOT NULL").collect()]
+        got = {(r.path, r.ordinal): tuple(r[c] for c in kept[2:]) + (([(b["tag"], b["reading"], b["line"], b["end_line"]) for b in r.inner],) if detail != "discourses" else (want[r.path, r.ordinal][-1],)) for r in rows}
+        assert got == want, detail
