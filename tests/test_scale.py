@@ -12,6 +12,7 @@ DATA = "/root/testdata/sf0.001"
 #: Walks over XML in the plan that a query returns.
 WALKS = {
     "xml_fingerprint": 1,
+    "fingerprint_check": 2,
 }
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
