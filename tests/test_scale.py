@@ -13,6 +13,7 @@ DATA = "/root/testdata/sf0.001"
 WALKS = {
     "xml_fingerprint": 1,
     "fingerprint_check": 2,
+    "xml_segments": 1,
 }
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
