@@ -14,6 +14,7 @@ WALKS = {
     "xml_fingerprint": 1,
     "fingerprint_check": 2,
     "xml_segments": 1,
+    "xml_reading_text": 1,
 }
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
