@@ -15,6 +15,7 @@ WALKS = {
     "fingerprint_check": 2,
     "xml_segments": 1,
     "xml_reading_text": 1,
+    "point_extract": 1,
 }
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
