@@ -21,6 +21,7 @@ WALKS = {
 PAIRED = (
     "candidate_union",
     "nearest_position",
+    "formula_candidates",
 )
 
 
