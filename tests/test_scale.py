@@ -17,6 +17,7 @@ WALKS = {
     "xml_reading_text": 1,
     "point_extract": 1,
     "xml_coverage": 1,
+    "xml_blocks": 1,
 }
 #: Queries whose returned plan must read documents no more: pairs are found once, before.
 PAIRED = (
