@@ -24,6 +24,7 @@ PAIRED = (
     "candidate_union",
     "nearest_position",
     "formula_candidates",
+    "retrieval_ranks",
 )
 
 
