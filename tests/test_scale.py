@@ -25,6 +25,7 @@ PAIRED = (
     "nearest_position",
     "formula_candidates",
     "retrieval_ranks",
+    "retrieval_metrics",
 )
 
 
