@@ -77,14 +77,16 @@ def lexicon_hits(text: Column, lexicon: list[dict], side: str) -> Column:
     """
     normal = (lambda t: collapse(F.lower(t))) if side == "left" else squeeze
     python = (lambda t: " ".join(t.lower().split())) if side == "left" else (lambda t: "".join(t.split()))
-    told = normal(text)
-    out = []
+    told_of: list = []
     for entry in lexicon:
         forms = entry.get(side, [])
         if forms:
-            form = F.coalesce(*[F.when(F.contains(told, F.lit(python(f))), f) for f in forms])
-            out.append(F.when(form != "", F.struct(F.lit(entry["id"]).alias("id"), form.alias("form"), F.lit(float(entry.get("weight", 1.0))).alias("weight"))))
-    return F.array_compact(F.array(*out)) if out else F.array().cast("array<struct<id:string,form:string,weight:double>>")
+            told_of.append(lambda told, entry=entry, forms=forms: F.struct(F.lit(entry["id"]).alias("id"), F.coalesce(*[F.when(F.contains(told, F.lit(python(f))), f) for f in forms]).alias("form"), F.lit(float(entry.get("weight", 1.0))).alias("weight")))
+    if not told_of:
+        return F.array().cast("array<struct<id:string,form:string,weight:double>>")
+    # bound to a name, as each mention of the normal form would make it anew
+    every = F.transform(F.array(normal(text)), lambda told: F.array(*[x(told) for x in told_of]))[0]
+    return F.filter(every, lambda x: x["form"] != "")
 
 
 def windows(blocks: DataFrame, key: str | list[str], widest: int) -> DataFrame:

@@ -4,8 +4,9 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
-from stemma.operators import markup
+from stemma.operators import align, markup
 from stemma.plans import candidates, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -55,6 +56,18 @@ def test_pairs_cut_no_document_into_words(spark, name):
     assert told.count("MapInArrow") == 1 and "split(text#" not in told.split("documents.parquet")[0].split("MapInArrow")[-1]
 
 
+@pytest.mark.parametrize("side, normal", [("left", "lower("), ("right", "regexp_replace(")])
+def test_texts_are_normalised_once_for_a_lexicon(spark, side, normal):
+    """However many forms there are, by as many mentions in the optimized plan."""
+    hits = align.lexicon_hits(F.col("text"), candidates.LEXICON, side)
+    frame = spark.createDataFrame([("The  that her in",), (None,), ("",), ("nowhere",)], "text string").select(hits.alias("h"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count(normal) == 1
+    assert [[(h.id, h.form, h.weight) for h in r.h] for r in frame.collect()] == {
+        "left": [[("the", "the that", 1.0), ("her", "her in", 1.0)], [], [], [("on", "nowhere", 4.0), ("her", "her", 1.0)]],
+        "right": [[("the", "th at", 1.0), ("none", "er", 3.0), ("her", "therin", 1.0)], [], [], [("none", "er", 3.0)]],
+    }[side]
+
+
 def test_passages_at_any_place(spark):
     """Passages across the ends of chunks and of texts, of items with one beginning, in many copies."""
     dice = random.Random(3)
