@@ -95,6 +95,32 @@ def test_passages_equal_brute_force(spark, monkeypatch, most):
     assert got == sorted(expected)
 
 
+#: Whether a query's walk makes running texts and digests.
+MADE = {
+    "fingerprint_check": (False, True),
+}
+
+
+@pytest.mark.parametrize("name", MADE)
+def test_walks_make_only_what_is_read(spark, monkeypatch, name):
+    told, nodes = [], markup.nodes
+
+    def seen(*args, **named):
+        rows = nodes(*args, **named)
+        told.append(rows.agg(F.count("reading"), F.count("fingerprint")).first())
+        return rows
+
+    monkeypatch.setattr(markup, "nodes", seen)
+    assert registry.QUERIES[name](spark, DATA).count() > 0
+    assert told and all(tuple(x > 0 for x in r) == MADE[name] for r in told)
+
+
+@pytest.mark.parametrize("name", MADE)
+def test_files_cut_only_the_lines_they_hold(spark, name):
+    """Of a text only its first lines are cut."""
+    assert "split(text#" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def tree(dice, depth=0):
     """Random markup: chapters, discourses inside discourses, blocks inside blocks, marks of lines and scrolls."""
     kind = dice.choice(["div", "div", "div", "p", "lg", "note", "lb", "juan", "x"]) if depth < 6 else "lb"
