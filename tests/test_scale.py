@@ -98,6 +98,7 @@ def test_passages_equal_brute_force(spark, monkeypatch, most):
 #: Whether a query's walk makes running texts and digests.
 MADE = {
     "xml_segments": (False, False),
+    "xml_reading_text": (True, False),
     "fingerprint_check": (False, True),
 }
 
