@@ -99,6 +99,7 @@ def test_passages_equal_brute_force(spark, monkeypatch, most):
 MADE = {
     "xml_segments": (False, False),
     "xml_reading_text": (True, False),
+    "xml_blocks": (True, False),
     "fingerprint_check": (False, True),
 }
 
