@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SPACE, collapse, editorial_flags, leaf_kind, leaf_marks, padded
+from ..functions import INK, collapse, editorial_flags, leaf_kind, leaf_marks, padded
 
 
 def leaf_states(leaves: DataFrame) -> DataFrame:
@@ -75,4 +75,4 @@ def unit_errors(leaves: DataFrame) -> DataFrame:
 def text_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, text) of the lines that hold more than white space; numbers count empty lines too."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    return lines.filter(F.regexp_replace("text", SPACE, "") != "").select("doc_id", (F.col("at") + 1).alias("ordinal"), "text")
+    return lines.filter(F.rlike("text", F.lit(INK))).select("doc_id", (F.col("at") + 1).alias("ordinal"), "text")

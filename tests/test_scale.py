@@ -3,10 +3,11 @@
 import random
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, markup
+from stemma.operators import align, markup, units
 from stemma.plans import candidates, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -95,6 +96,39 @@ def test_passages_equal_brute_force(spark, monkeypatch, most):
     assert got == sorted(expected)
 
 
+def test_texts_are_looked_up_at_every_eighth_byte(monkeypatch):
+    """Passages of 39 bytes or more hold such a window wherever they lie; shorter ones are looked for at every byte."""
+    dice = random.Random(5)
+    texts = ["".join(dice.choice("abcdé ") for _ in range(9_000)) for _ in range(2)]
+    long = [x[at : at + n] for x in texts for n in (39, 40, 60) for at in [*range(70), len(x) - n]] + [texts[0][-30:] + texts[1][:30]]
+    short = [texts[1][at : at + n] for n in (1, 5, 31, 33) for at in (0, 3, 8_000)]
+    column, made = pa.array(["", *texts, None, texts[0][:60]], pa.large_string())[1:], []
+    for name in ("_hashes", "_stepped"):
+        if make := getattr(candidates, name, None):
+            monkeypatch.setattr(candidates, name, lambda *args, make=make: made.append(make(*args)) or made[-1])
+    for passages in (long, long + short):
+        search = candidates._Search(list(enumerate(passages)))
+        made.clear()
+        got = list(search.met(column))
+        assert sorted(got) == sorted((i, p.encode()) for i, x in enumerate(column.to_pylist()) if x for p in set(passages) if p in x)
+        if passages is long:
+            assert sum(map(len, made)) <= sum(len(x.encode()) for x in texts) // 8 + 8
+
+
+@pytest.mark.parametrize("name", ["formula_candidates", "retrieval_metrics"])
+def test_lines_are_read_to_their_first_character_only(spark, name):
+    """To leave out those of white space, no line is made without it."""
+    told = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in x and "regexp_replace" in x for x in told.splitlines()) and "RLIKE" in told
+
+
+def test_lines_of_white_space(spark):
+    kinds = ["", " ", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2028", "\u2029", "\u3000", " \u3000\x85\t", "\x1b", "\u200b", "\ufeff", "\x00", " x ", "\u3000é", "\x85.", "😀", "\u3000😀"]
+    docs = spark.createDataFrame([(1, "\n".join(kinds)), (2, None), (3, "\n \n")], "doc_id long, text string")
+    got = [(r.doc_id, r.ordinal, r.text) for r in units.text_blocks(docs).orderBy("doc_id", "ordinal").collect()]
+    assert got == [(1, i, x) for i, x in enumerate(kinds, 1) if i > 15]
+
+
 #: Whether a query's walk makes running texts and digests.
 MADE = {
     "xml_segments": (False, False),
