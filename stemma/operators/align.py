@@ -70,12 +70,13 @@ def formula_candidates(units: DataFrame, blocks: DataFrame, left: str, right: li
     )
 
 
-def lexicon_hits(text: Column, lexicon: list[dict], side: str) -> Column:
+def lexicon_hits(text: Column, lexicon: list[dict], side: str, normal: bool = False) -> Column:
     """array<struct<id, form, weight>> of the entries of which a form is in the text, by the first such form, in the lexicon's order.
 
-    ``left`` compares lower-cased words with single spaces between them, ``right`` all characters without white space.
+    ``left`` compares lower-cased words with single spaces between them, ``right`` all characters without white space;
+    a ``normal`` text is in that form already.
     """
-    normal = (lambda t: collapse(F.lower(t))) if side == "left" else squeeze
+    form_of = (lambda t: t) if normal else (lambda t: collapse(F.lower(t))) if side == "left" else squeeze
     python = (lambda t: " ".join(t.lower().split())) if side == "left" else (lambda t: "".join(t.split()))
     told_of: list = []
     for entry in lexicon:
@@ -85,18 +86,18 @@ def lexicon_hits(text: Column, lexicon: list[dict], side: str) -> Column:
     if not told_of:
         return F.array().cast("array<struct<id:string,form:string,weight:double>>")
     # bound to a name, as each mention of the normal form would make it anew
-    every = F.transform(F.array(normal(text)), lambda told: F.array(*[x(told) for x in told_of]))[0]
+    every = F.transform(F.array(form_of(text)), lambda told: F.array(*[x(told) for x in told_of]))[0]
     return F.filter(every, lambda x: x["form"] != "")
 
 
-def windows(blocks: DataFrame, key: str | list[str], widest: int) -> DataFrame:
+def windows(blocks: DataFrame, key: str | list[str], widest: int, between: str = " ") -> DataFrame:
     """All runs of 1 to ``widest`` consecutive blocks: ordinal of the first, width, joined text; with ids and centres if there are."""
     key = [key] if isinstance(key, str) else key
     frame = Window.partitionBy(*key).orderBy("ordinal").rowsBetween(0, widest - 1)
     extra = [c for c in ("block_id", "center") if c in blocks.columns]
     held = blocks.withColumn("run", F.collect_list(F.struct("text", *extra)).over(frame))
     spread = held.withColumn("width", F.explode(F.sequence(F.lit(1), F.size("run")))).withColumn("run", F.slice("run", F.lit(1), F.col("width")))
-    out = [F.array_join(F.col("run.text"), " ").alias("window_text")]
+    out = [F.array_join(F.col("run.text"), between).alias("window_text")]
     if "block_id" in extra:
         out.append(F.col("run.block_id").alias("block_ids"))
     if "center" in extra:
@@ -112,13 +113,15 @@ def top_k(scored: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
 def anchor_windows(units: DataFrame, blocks: DataFrame, lexicon: list[dict], k: int = 3, widest: int = 3, work: str = "work_id", witness: str = "witness_id") -> DataFrame:
     """The k best windows of blocks for each unit of a pair, by shared lexicon entries and position.
 
-    Forms are looked for in the joined text of a window, so that they are found across the ends of blocks; texts stay
-    behind before units and windows meet.  ``ordinal`` is a block's place among all blocks of its pair.
+    Forms are looked for in the joined text of a window, so that they are found across the ends of blocks; a block loses
+    its white space once, not in each window that holds it, and texts stay behind before units and windows meet.
+    ``ordinal`` is a block's place among all blocks of its pair.
     """
     pair = [work, witness]
     known = centers(units, *pair).select(*pair, "unit_id", "center", lexicon_hits(F.col("text"), lexicon, "left").alias("left"))
-    made = windows(centers(blocks, *pair), pair, widest).select(*pair, "ordinal", "width", "block_ids", "window_center", lexicon_hits(F.col("window_text"), lexicon, "right").alias("right"))
-    shared = F.filter("left", lambda x: F.array_contains(F.transform("right", lambda y: y["id"]), x["id"]))
+    hits = lexicon_hits(F.col("window_text"), lexicon, "right", normal=True)
+    made = windows(centers(blocks, *pair).withColumn("text", squeeze("text")), pair, widest, "").select(*pair, "ordinal", "width", "block_ids", "window_center", F.transform(hits, lambda y: y["id"]).alias("right"))
+    shared = F.filter("left", lambda x: F.array_contains("right", x["id"]))
     met = known.join(made, pair).select(*pair, "unit_id", "ordinal", "width", "block_ids", shared.alias("anchors"), F.abs(F.col("center") - F.col("window_center")).alias("delta"))
     weight = F.aggregate("anchors", F.lit(0.0), lambda total, x: total + x["weight"])
     met = met.withColumn("weight", weight).withColumn("score", 0.72 * (1 - F.exp(-F.col("weight") / 5)) + 0.28 * F.greatest(F.lit(0.0), 1 - F.col("delta")))

@@ -129,6 +129,12 @@ def test_lines_of_white_space(spark):
     assert got == [(1, i, x) for i, x in enumerate(kinds, 1) if i > 15]
 
 
+def test_blocks_lose_their_white_space_once(spark):
+    """Not in each window that holds them."""
+    told = registry.QUERIES["anchor_window_topk"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(array_join" not in told and told.count("[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+") == 2
+
+
 #: Whether a query's walk makes running texts and digests.
 MADE = {
     "xml_segments": (False, False),
